@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -48,10 +50,14 @@ def tsv_rows(files: DataFrame, path: str = "path", content: str = "content") ->
     return rows.select(path, "n", key.alias("key"), F.row_number().over(Window.partitionBy(path, key).orderBy("n")).alias("occurrence"), F.map_from_arrays("_head", "_cells").alias("cells"))
 
 
+def _as_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
+
 def markdown_records(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """path, line, kind, value: links, requirement tokens and digests outside fences."""
     lines = files.select(path, F.posexplode(F.split(content, "\n")).alias("_i", "_t"))
     fence = F.when(F.col("_t").rlike(r"^ {0,3}(```|~~~)"), 1).otherwise(0)
     lines = lines.withColumn("_f", fence).withColumn("_open", F.sum("_f").over(Window.partitionBy(path).orderBy("_i")) % 2).where("_f = 0 and _open = 0")
-    made = [F.transform(f(F.col("_t")), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, f in (("link", S.inline_links), ("requirement", S.requirement_tokens), ("digest", S.digest_tokens))]
+    made = [F.transform(find(F.col("_t")), _as_kind(kind)) for kind, find in (("link", S.inline_links), ("requirement", S.requirement_tokens), ("digest", S.digest_tokens))]
     return lines.select(path, (F.col("_i") + 1).cast("long").alias("line"), F.explode(F.concat(*made)).alias("r")).select(path, "line", "r.kind", "r.value")
