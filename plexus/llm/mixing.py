@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from .common import WORD, staged, text_or_empty
 
 
+_MADE = ("size", "source_size", "target", "times", "taken")
+
+
 def word_count(name: str = "text") -> Column:
     return F.regexp_count(text_or_empty(name), F.lit(WORD)).cast("long")
 
@@ -41,14 +44,14 @@ def mix(
 
     Only the bucket of that order in which a source's target ends is sorted; the others are in or out as a whole, by sums
     over (source, bucket). So a source of any size is spread over ``buckets`` groups. Null and empty texts have size 0
-    and are taken 0 words; a null source is a source; null keys share one place in the order; repeated rows are
+    and are taken 0 words; kept columns named like new ones are replaced; a null source is a source; null keys share one place in the order; repeated rows are
     rows of their own. Sources are a short list: one row each goes through one task. No rows give no rows.
     """
     if not weights or min(weights) <= 0 or share < 0 or max_epochs < 1:
         raise ValueError("weights must be positive, share not negative, max_epochs at least 1")
     digest = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
     sized = staged(
-        docs.select(*dict.fromkeys([key, source, *keep]), word_count(text).alias("size"), digest.alias("_digest")).withColumn("_bucket", (F.conv(F.substring("_digest", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("int")),
+        docs.select(key, source, F.struct(*[c for c in keep if c not in _MADE]).alias("_keep") if keep else F.lit(True).alias("_keep"), word_count(text).alias("size"), digest.alias("_digest")).withColumn("_bucket", (F.conv(F.substring("_digest", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("int")),
         "sized",
     )
     parts = staged(sized.groupBy(F.col(source).alias("_source"), "_bucket").agg(F.sum("size").alias("_words")), "parts")
@@ -67,7 +70,7 @@ def mix(
     edge = edge.withColumn("_state", F.when(F.col("_sum") + F.col("size") / 2 <= F.col("_want"), 1).otherwise(0)).drop("_sum")
     times = (F.col("_whole") + F.col("_state")).cast("long")
     done = rows.where("_state is not null").unionByName(edge)
-    return done.select(*dict.fromkeys([key, source, *keep]), "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+    return done.select(key, source, *(["_keep.*"] if keep else []), "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
 
 
 OP8_SQL = r"""

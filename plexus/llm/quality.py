@@ -118,15 +118,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, ma
 
 
 def scored(docs: DataFrame, score, threshold: float, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns, held_out, score(text) and predicted; ``score`` runs in Arrow batches on the executors."""
-    rows = docs.select(*keep, is_held_out().alias("held_out"), text_or_empty().alias("_text"))
-    kept = rows.drop("_text")
+    """The ``keep`` columns, held_out, score(text) and predicted; ``score`` runs in Arrow batches on the executors.
+
+    Kept columns ride in a struct, so their names clash with nothing; those named like the new ones are replaced.
+    """
+    kept = F.struct(*[c for c in keep if c not in ("held_out", "score", "predicted")])
+    rows = docs.select(kept.alias("kept"), is_held_out().alias("held_out"), text_or_empty().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last = batch.num_columns - 1
-            found = pa.array([score(t.as_py()) for t in batch.column(last)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], found], [*batch.schema.names[:last], "score"])
+            found = pa.array([score(t.as_py()) for t in batch.column(2)], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["kept", "held_out", "score"])
 
-    schema = kept.schema.add("score", "double")
-    return rows.mapInArrow(run, schema).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    schema = rows.drop("text").schema.add("score", "double")
+    return rows.mapInArrow(run, schema).select("kept.*", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
