@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import WORD, staged, text_or_empty
 
 
+#: So many sources, a short row each, are broadcast.
+FEW_SOURCES = 50_000
 _MADE = ("size", "source_size", "target", "times", "taken")
 
 
@@ -42,7 +44,8 @@ def mix(
     document comes the whole number of times, and one more time if it stands early enough in the order of a seeded
     digest of its key, so that the source's words come within half a document of its target. Reruns agree.
 
-    Only the bucket of that order in which a source's target ends is sorted; the others are in or out as a whole, by sums
+    Only the bucket of that order in which a source's target ends is sorted, to find the last row that comes once more. Then
+    a row is in or out by its own digest, so texts aren't shuffled. Buckets are found by sums
     over (source, bucket). So a source of any size is spread over ``buckets`` groups. Null and empty texts have size 0
     and are taken 0 words; kept columns named like new ones are replaced; a null source is a source; null keys share one place in the order; repeated rows are
     rows of their own. Sources are a short list: one row each goes through one task. No rows give no rows.
@@ -50,27 +53,38 @@ def mix(
     if not weights or min(weights) <= 0 or share < 0 or max_epochs < 1:
         raise ValueError("weights must be positive, share not negative, max_epochs at least 1")
     digest = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
-    sized = staged(
-        docs.select(key, source, F.struct(*[c for c in keep if c not in _MADE]).alias("_keep") if keep else F.lit(True).alias("_keep"), word_count(text).alias("size"), digest.alias("_digest")).withColumn("_bucket", (F.conv(F.substring("_digest", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("int")),
-        "sized",
-    )
+    made = [word_count(text).alias("size"), digest.alias("_digest")]
+    bucket = (F.conv(F.substring("_digest", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("int")
+    sized = staged(docs.select(key, source, *made).withColumn("_bucket", bucket), "sized")
     parts = staged(sized.groupBy(F.col(source).alias("_source"), "_bucket").agg(F.sum("size").alias("_words")), "parts")
     place = F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())) - 1
     turns = F.array(*[F.lit(float(w)) for w in weights])
     sources = parts.groupBy("_source").agg(F.sum("_words").alias("source_size")).withColumn("weight", F.get(turns, F.pmod(place, F.lit(len(weights)))))
     rates = water_fill(sources, share, max_epochs)
     rates = rates.withColumn("_whole", F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("long"))
-    rates = rates.withColumn("_want", F.col("target") - F.col("_whole") * F.col("source_size")).drop("weight")
+    rates = staged(rates.withColumn("_want", F.col("target") - F.col("_whole") * F.col("source_size")).drop("weight"), "rates")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    # The first bucket of a source that isn't in as a whole: all before it are, none after it.
     before = F.coalesce(F.sum("_words").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    plan = parts.withColumn("_before", before).join(rates.withColumnRenamed("_source", "_name"), F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
-    plan = staged(plan.withColumn("_state", F.when(F.col("_before") + F.col("_words") <= F.col("_want"), 1).when(F.col("_before") >= F.col("_want"), 0)).withColumnRenamed("_bucket", "_part"), "plan")
-    rows = sized.join(plan, (F.col("_bucket") == F.col("_part")) & F.col(source).eqNullSafe(F.col("_source")))
-    order = Window.partitionBy("_source", "_part").orderBy("_digest", key, "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = rows.where("_state is null").withColumn("_sum", F.col("_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    edge = edge.withColumn("_state", F.when(F.col("_sum") + F.col("size") / 2 <= F.col("_want"), 1).otherwise(0)).drop("_sum")
-    times = (F.col("_whole") + F.col("_state")).cast("long")
-    done = rows.where("_state is not null").unionByName(edge)
-    return done.select(key, source, *(["_keep.*"] if keep else []), "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+    open_ = parts.withColumn("_before", before).join(rates.select(F.col("_source").alias("_name"), "_want"), same("_source", "_name")).where("_before + _words > _want")
+    edges = open_.groupBy("_name", "_want").agg(F.min(F.struct("_bucket", "_before")).alias("_edge")).select("_name", "_want", F.col("_edge._bucket").alias("_part"), F.col("_edge._before").alias("_before"))
+    edge = sized.join(edges, (F.col("_bucket") == F.col("_part")) & same(source, "_name"))
+    order = Window.partitionBy("_name").orderBy("_digest", key, "size").rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("_sum", F.col("_before") + F.coalesce(F.sum("size").over(order), F.lit(0))).where("_sum < _want and _sum + size / 2 <= _want")
+    entry = lambda: F.struct("_digest", key, "size")
+    last = edge.groupBy("_name").agg(F.max(entry()).alias("_last"))
+    plan = rates.join(edges.select(F.col("_name").alias("_e"), "_part"), same("_source", "_e"), "left").join(last, same("_source", "_name"), "left").select("_source", "source_size", "target", "_whole", "_part", "_last")
+    plan = staged(plan, "plan")
+    # A row a source: broadcast where they are few, as they should be, and joined on both sides' shuffles where not.
+    plan = F.broadcast(plan) if plan.count() <= FEW_SOURCES else plan
+    if keep:
+        kept = F.struct(*[c for c in keep if c not in _MADE]).alias("_keep")
+        sized = docs.select(key, source, kept, *made).withColumn("_bucket", bucket)
+    rows = sized.join(plan, same(source, "_source"))
+    extra = F.col("_part").isNull() | (F.col("_bucket") < F.col("_part")) | ((F.col("_bucket") == F.col("_part")) & F.col("_last").isNotNull() & (entry() <= F.col("_last")))
+    times = (F.col("_whole") + F.when(extra & (F.col("target") > F.col("_whole") * F.col("source_size")), 1).otherwise(0)).cast("long")
+    done = rows.withColumn("times", times)
+    return done.select(key, source, *(["_keep.*"] if keep else []), "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
 OP8_SQL = r"""
