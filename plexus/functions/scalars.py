@@ -100,3 +100,10 @@ def shorten(value: Column, limit: int) -> Column:
     """At most ``limit`` bytes of a text at a character's border, with an ellipsis if anything is cut."""
     ends = F.transform(F.sequence(F.lit(0), F.least(F.char_length(value), F.lit(limit))), lambda i: F.when(F.octet_length(F.substring(value, F.lit(1), i)) <= limit, i))
     return F.when(F.octet_length(value) <= limit, value).otherwise(F.concat(F.substring(value, F.lit(1), F.array_max(ends)), F.lit("…")))
+
+
+def symbol_name(symbol: Column) -> Column:
+    """The name in a symbol's last descriptor (type#, term., method()., macro!), unquoted; null if local or nameless."""
+    end = r"(?:\([^(]*\)\.|(?<!\))\.|[#!])\z"
+    part = lambda i: F.nullif(F.regexp_extract(symbol, rf"(?:(?<!`)`([^`]+)`|([\p{{IsAlphabetic}}\p{{N}}_+\-$]+)){end}", i), F.lit(""))
+    return F.when(~symbol.startswith("local "), F.coalesce(part(1), part(2)))

@@ -525,6 +525,14 @@ def seed_selection(g):
     return g.table("orders").groupBy("o_custkey").agg(best.alias("seed"))
 
 
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 IN (0, 1, 3) THEN 'n' || p_partkey WHEN p_partkey % 5 = 2 THEN 'a b' || p_partkey END AS name FROM part""", graph=False)
+def scip_symbol_name(g):
+    key, tail = c("p_partkey"), c("p_partkey") % 5
+    symbol = F.when(tail == 0, F.concat(F.lit("cargo x 1 m/n"), key, F.lit("#"))).when(tail == 1, F.concat(F.lit("cargo x 1 m/T#n"), key, F.lit("(+1)."))).when(tail == 2, F.concat(F.lit("cargo x 1 `a b"), key, F.lit("`!")))
+    symbol = symbol.when(tail == 3, F.concat(F.lit("cargo x 1 n"), key, F.lit("."))).otherwise(F.concat(F.lit("local n"), key))
+    return g.table("part").select("p_partkey", S.symbol_name(symbol).alias("name"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most called nodes: references resolved, edges counted, fan-in tiers."""
     g = Graph.of(spark, sf_dir)
