@@ -29,10 +29,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/plexus/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and outlives any executor."""
+def staged(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, and outlives any executor.
+
+    ``files``, where given, is how many files are written at most; whole partitions are put together for that.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
+#: Links that a file of a round holds, two longs each.
+LINKS_A_FILE = 1 << 20
+
 
 def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spanning stars of the links given: each end with the smallest end that it reaches within them.
@@ -38,8 +41,9 @@ def components(links: DataFrame, src: str = "a", dst: str = "b", rounds: int = 6
 
     Alternates the large-star and the small-star step, each one aggregate with map-side minima and one
     equi-join, until the links no longer change; the rounds grow with the logarithm of the longest path.
-    Every round is a table in the shared folder. Links to itself and null ends are left out; repeated links
-    are harmless; no links give an empty result.
+    Every round is a table in the shared folder, in as many files as its links fill, but a file for each core at
+    least, whatever the number of shuffle partitions: a round of few links is not hundreds of tiny files.
+    Links to itself and null ends are left out; repeated links are harmless; no links give an empty result.
     """
     edges = staged(
         links.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
@@ -47,6 +51,7 @@ def components(links: DataFrame, src: str = "a", dst: str = "b", rounds: int = 6
         .distinct(),
         "links",
     )
+    files = max(edges.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // LINKS_A_FILE))
     mark = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -54,7 +59,7 @@ def components(links: DataFrame, src: str = "a", dst: str = "b", rounds: int = 6
         edges = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
         hung = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = staged(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        edges = staged(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links", files)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(now):
             break
