@@ -1,0 +1,197 @@
+"""Near copies by exact Jaccard of word shingles: prefixes of a common order find every pair, whole sets decide it."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import staged, text_or_empty
+from .components import components
+from .simhash import _CHUNK, _LOWER, _WORDS
+
+#: Slots in which a sample counts shingles, and ids that are broadcast (a long each).
+_SLOTS = 1 << 20
+MOST_BROADCAST = 1 << 20
+
+
+def shingles(text: str, width: int) -> np.ndarray:
+    """The set of XXH64 hashes (seed 42) of a text's word shingles, sorted; a text of fewer words is one shingle."""
+    words = _WORDS(text.translate(_LOWER))
+    if not words:
+        return np.zeros(0, np.uint64)
+    found, digest = [], xxhash.xxh64_intdigest
+    for at in range(0, max(1, len(words) - width + 1), _CHUNK):
+        part = words[at : at + _CHUNK + width - 1]
+        some = [" ".join(part)] if len(words) <= width else map(" ".join, zip(*(part[i:] for i in range(width)), strict=False))
+        found.append(np.fromiter((digest(s, 42) for s in some), np.uint64))
+    return np.unique(np.concatenate(found))
+
+
+def _slot(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(44)).astype(np.int64)
+
+
+def _bits(tokens: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of a share of the set: two sets have at least as many elements apart as bits differ."""
+    odd = np.bincount((tokens & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _frequent(docs: DataFrame, width: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, counts) of slots that a sample of texts fills more than once. It decides cost, not results."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = [np.unique(_slot(shingles(t.as_py(), width))) for t in batch.column(0)] or [np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(slots))], ["slot"])
+
+    share = max(1, docs.count() // sample_rows)
+    texts = docs.select(text_or_empty().alias("_text")).where(F.pmod(F.xxhash64("_text"), F.lit(share)) == 0)
+    found = texts.mapInArrow(run, "slot long").groupBy("slot").count().where("count > 2").toPandas().sort_values("slot")
+    return found["slot"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
+
+
+def prefixes(docs: DataFrame, width: int, tenths: int, sample_rows: int = 5000) -> DataFrame:
+    """Adds class (hash of the set of shingles), n (its size), prefix and bits to rows of (text, ...).
+
+    All sets are ordered by one order, shingles that a sample has often last. Sets with Jaccard of at least t share
+    one of the first n - ceil(t n) + 1 of either, whatever the order: that is the prefix, and no pair is missed.
+    """
+    slots, counts = _frequent(docs, width, sample_rows)
+
+    def one(text: str) -> tuple[int, int, np.ndarray, np.ndarray]:
+        found = shingles(text, width)
+        n, often = len(found), np.zeros(len(found), np.int64)
+        if n and len(slots):
+            at = np.minimum(np.searchsorted(slots, _slot(found)), len(slots) - 1)
+            often = np.where(slots[at] == _slot(found), counts[at], 0)
+        head = found[np.lexsort((found, often))][: n + (-n * tenths // 10) + 1] if n else found
+        return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64)), n, head.view(np.int64), _bits(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [one(t.as_py()) for t in batch.column("_text")]
+            columns = [pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), *(pa.array([m[k] for m in made], pa.list_(pa.int64())) for k in (2, 3))]
+            keep = [i for i, c in enumerate(batch.schema.names) if c != "_text"]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + columns, [batch.schema.names[i] for i in keep] + ["class", "n", "prefix", "bits"])
+
+    given = docs.select("*", text_or_empty().alias("_text"))
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return given.mapInArrow(run, f"{kind}, class long, n long, prefix array<long>, bits array<long>")
+
+
+def _narrow(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is in ``ids`` (distinct); few ids are broadcast, so that no text is shuffled."""
+    return df.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, on, "left_semi")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, tenths: int) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose sets have Jaccard of at least ``tenths`` / 10. ``texts``: (class, text), one row a class."""
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([shingles(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], ["class", "set"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both * 10 >= tenths * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "wanted")
+    held = staged(_narrow(texts, wanted, "class").select("class", "text").mapInArrow(sets, "class long, set binary"), "sets")
+    both = pairs.join(held.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+
+
+def _apart(lists: DataFrame, tenths: int) -> DataFrame:
+    """(p, q): pairs of classes of one list that are of two components, without those that sizes or bits rule out.
+
+    The list's largest component is held against the others only, so what is connected already costs nothing.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.column(0):
+                rows = row.values
+                name, n, part = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("class", "n", "component"))
+                bits = rows.field("bits").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(n), -1)
+                of, size = np.unique(part, return_counts=True)
+                asks = np.nonzero(part != of[size.argmax()])[0]
+                step = max(1, (1 << 19) // len(n))
+                for at in range(0, len(asks), step):
+                    i = asks[at : at + step]
+                    both, differ = n[i, None] + n[None, :], sum(np.bitwise_count(bits[i, k, None] ^ bits[None, :, k]).astype(np.int64) for k in range(bits.shape[1]))
+                    # Jaccard of t leaves at most (1 - t) / (1 + t) of both sizes apart.
+                    near = (part[i, None] != part[None, :]) & (differ * (10 + tenths) <= both * (10 - tenths))
+                    near &= np.minimum(n[i, None], n[None, :]) * 10 >= np.maximum(n[i, None], n[None, :]) * tenths
+                    x, y = np.nonzero(near)
+                    yield pa.RecordBatch.from_arrays([pa.array(name[i][x]), pa.array(name[y])], ["p", "q"])
+
+    return lists.select("all").mapInArrow(run, "p long, q long")
+
+
+def near_classes(rows: DataFrame, width: int, tenths: int, tries: int = 2) -> DataFrame:
+    """(class, component) of classes that links of Jaccard of at least ``tenths`` / 10 connect with others.
+
+    ``rows``: a table of (class, n, prefix, text). Classes that share a shingle of their prefixes form a list. First each
+    is held against a few of its lists' centers; then only what isn't connected yet is compared, all pairs of it. So a
+    large group of near copies costs no pairs of its rows, and no pair that could connect two components is left out.
+    """
+    member = F.struct("class", "n")
+    posted = rows.where("n > 0").select(F.explode("prefix").alias("token"), member.alias("m"))
+    lists = posted.groupBy("token").agg(F.array_sort(F.collect_set("m")).alias("all")).where(F.size("all") > 1)
+    lists = staged(lists.select("all").distinct().withColumn("list", F.xxhash64("all")), "lists")
+    # One text a class; of rows with one set of shingles any will do.
+    first = rows.groupBy("class").agg(F.min("_row").alias("_row"), F.first("bits").alias("bits"))
+    first = staged(_narrow(first, staged(lists.select(F.explode("all.class").alias("class")).distinct(), "listed"), "class"), "first")
+    texts = _narrow(rows, first.select("_row"), "_row").select("class", "text")
+    fits = lambda x, y: F.least(x, y) * 10 >= F.greatest(x, y) * tenths
+    links, done = None, None
+    open_ = lists.select("list", F.explode("all").alias("m")).select("list", "m.*").withColumn("component", F.col("class"))
+    for turn in range(tries + 1):
+        if turn:
+            named = lists.select("list", F.explode("all").alias("m")).select("list", "m.*")
+            open_ = named.join(done, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        parted = open_.groupBy("list").agg(F.collect_list(F.struct("class", "n", "component")).alias("all"))
+        parted = staged(parted.where(F.array_size(F.array_distinct(F.col("all.component"))) > 1), "open")
+        each = parted.select("list", "all", F.explode("all").alias("p"))
+        if turn < tries:
+            center = F.get(F.col("all"), F.pmod(F.xxhash64("list", F.lit(turn)), F.size("all")).cast("int"))
+            pairs = each.select("p", center.alias("q"), "list").where(F.col("p.component") != F.col("q.component"))
+            pairs = pairs.where(fits(F.col("p.n"), F.col("q.n"))).select(F.col("p.class").alias("p"), F.col("q.class").alias("q"), F.xxhash64("list", F.lit(turn)).alias("h"))
+            # A few centers a class and turn; the rest waits for the next.
+            few = pairs.groupBy("p").agg(F.slice(F.array_sort(F.collect_set(F.struct("h", "q"))), 1, 4).alias("few"))
+            pairs = few.select("p", F.explode("few.q").alias("q"))
+        else:
+            full = each.select("list", "p.*").join(first.select("class", "bits"), "class")
+            pairs = _apart(full.groupBy("list").agg(F.collect_list(F.struct("class", "n", "component", "bits")).alias("all")), tenths)
+        pairs = staged(pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "pairs")
+        found = staged(_verified(pairs, texts, width, tenths), "near")
+        links = found if links is None else links.unionByName(found)
+        done = staged(components(links).select(F.col("node").alias("class"), "component").distinct(), "component")
+    return done
+
+
+def without_near_copies(docs: DataFrame, width: int = 5, tenths: int = 8, key: str = "doc_id") -> DataFrame:
+    """Of each group of near copies (shingle sets of Jaccard >= ``tenths`` / 10, linked in chains) the row with the smallest key.
+
+    Rows are told apart by a number given once: of rows of one key the first stays, null keys stand last, and texts
+    without words are copies of each other.
+    """
+    numbered = docs.select("text", F.col(key).alias("_key"), F.struct(*docs.columns).alias("_whole")).withColumn("_row", F.monotonically_increasing_id())
+    rows = staged(prefixes(numbered, width, tenths).drop("text"), "prefixes")
+    found = near_classes(rows.withColumn("text", text_or_empty("_whole.text")), width, tenths)
+    best = F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row")).alias("best")
+    named = rows.groupBy("class").agg(best).join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    stay = named.groupBy("component").agg(F.min("best").alias("best"))
+    by_class = named.select("class", "component").join(stay, "component").select("class", F.col("best._row").alias("_best"))
+    gone = staged(rows.select("_row", "class").join(by_class, "class").where("_row <> _best").select("_row"), "gone")
+    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
+    return rows.join(gone, "_row", "left_anti").select("_whole.*")

@@ -156,6 +156,38 @@ def test_simhash_odd(spark, odd, none):
     assert {r.component_id for r in got if r.doc_id in (8, 9)} == {8} and simhash.near_duplicates(none, 3).count() == 0
 
 
+def words_sets(texts, width=5):
+    out = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        out.append({" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    return out
+
+
+def plain_near(texts):
+    """Groups of texts by brute-force Jaccard of at least 0.8; texts without words are one group."""
+    sets = words_sets(texts)
+    same = lambda a, b: len(a & b) * 10 >= 8 * len(a | b)
+    return smallest(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if same(sets[i], sets[j])])
+
+
+def test_near_dedup_equals_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts, line = [None, "", " ", "a b", "A b", "a b c"], " ".join(word() for _ in range(30))
+    for n in (8, 40, 150, 400):
+        for _ in range(6):
+            base = [word() for _ in range(n)]
+            texts += [" ".join(word() if rng.random() < p else w for w in base) for p in (0, 0, 0.005, 0.01, 0.02, 0.03, 0.04, 0.06)]
+            texts.append(line + " " + " ".join(base[: n // 2]))
+    base = [word() for _ in range(60)]  # a large group, where most pairs are less alike than 0.8
+    texts += [" ".join(word() if rng.random() < 0.02 else w for w in base) for _ in range(150)]
+    real = pd.read_parquet(f"{SF}/documents.parquet")["text"].tolist()
+    for some in (texts, real):
+        got = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(i, t) for i, t in enumerate(some)], "doc_id long, text string"), SF)
+        assert sorted(r.doc_id for r in got.collect()) == sorted(set(plain_near(some)))
+
+
 # -- 4
 
 
