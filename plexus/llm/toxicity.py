@@ -57,27 +57,82 @@ class Gauge:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, float(self.curve @ self.savings(text))))))
 
 
-def _dictionaries(sample: list[tuple[str, int]], base: int, support: float, lift: float, seed: int) -> tuple[bytes, bytes]:
-    """Contents of both: trained on ordinary windows, and in front of that as many bytes of segments of either side.
-
-    The toxic side's are those that at least ``support`` of the toxic texts have (three at least), ``lift`` times
-    more often than ordinary texts; the ordinary side's are its commonest. With the same base in both, chance matches
-    of ordinary words cancel out in the difference.
+def _stems(text: str) -> set[str]:
+    """Beginnings of words, five characters at least, and whole words."""
+    words = set(text.lower().split())
+    return {f" {w[:n]}" for w in words for n in range(5, min(len(w), 12) + 1)} | {f" {w} " for w in words}
+
+
+def _groups(sample: list[tuple[str, int]], seed: int, count: int = 10, common: int = 400, rounds: int = 12) -> np.ndarray:
+    """The number of each text's group of like vocabulary (so of language, mostly): k-means over which common words it has."""
+    sets = [set(t.lower().split()) for t, _ in sample]
+    words = [w for w, _ in sorted(Counter(w for s in sets for w in s).items(), key=lambda x: (-x[1], x[0]))[:common]]
+    x = np.array([[w in s for w in words] for s in sets], float).reshape(len(sets), len(words))
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
+    if len(x) <= count:
+        return np.zeros(len(x), int)
+    heart = [x[np.random.default_rng(seed).integers(len(x))]]
+    for _ in range(count - 1):  # the next is the text that is least like those before
+        heart.append(x[np.argmin(np.max(x @ np.array(heart).T, axis=1) + 9 * (x.sum(1) == 0))])
+    heart = np.array(heart)
+    for _ in range(rounds):
+        of = np.argmax(x @ heart.T, axis=1)
+        heart = np.array([x[of == k].sum(0) if (of == k).any() else heart[k] for k in range(count)])
+        heart /= np.maximum(np.linalg.norm(heart, axis=1), 1e-9)[:, None]
+    return of
+
+
+def _segments(sample: list[tuple[str, int]], lift: float, sure: float, seed: int) -> list[str]:
+    """Stems that toxic texts have ``lift`` times more often than ordinary ones, if the likelihood ratio (G) of the rates is at least ``sure``.
+
+    Rates are of all texts or of a group of like vocabulary, whichever tells more, so that marks of a language with few
+    toxic texts count as well. Of stems that begin with one another the one that tells most is taken.
+    """
+    has, found = [_stems(t) for t, _ in sample], {}
+    label, of = np.array([y for _, y in sample], int), _groups(sample, seed)
+    for inside in (np.ones(len(sample), bool), *(of == k for k in np.unique(of))):
+        n = [int((inside & (label == k)).sum()) for k in (0, 1)]
+        if not min(n):
+            continue
+        toxic, plain = (Counter(w for i in np.nonzero(inside & (label == k))[0] for w in has[i]) for k in (1, 0))
+        for w, k in toxic.items():
+            z = plain[w]
+            if k >= 3 and k / n[1] >= lift * (z + 0.5) / n[0]:
+                p = (k + z) / (n[0] + n[1])
+                ratio = 2 * sum(a * math.log(a / e) for a, e in ((k, n[1] * p), (n[1] - k, n[1] * (1 - p)), (z, n[0] * p), (n[0] - z, n[0] * (1 - p))) if a)
+                if ratio >= sure:
+                    found[w] = max(ratio, found.get(w, 0.0))
+    taken: list[str] = []
+    for w in sorted(found, key=lambda w: (-found[w] * (1 + len(w) / 50), w)):  # the longer of about equals saves more
+        if not any(w.startswith(t) or t.startswith(w) for t in taken):
+            taken.append(w)
+    return taken[::-1]
+
+
+def _padded(content: bytes) -> bytes:
+    """To a multiple of three bytes: zstandard's tables surely hold each third position of a dictionary, later ones first."""
+    return content + b" " * (-len(content) % 3)
+
+
+def _dictionaries(sample: list[tuple[str, int]], base: int, lift: float, sure: float, seed: int) -> tuple[bytes, bytes]:
+    """Contents of both: trained on ordinary windows without toxic segments, and after that as many bytes of segments of either side.
+
+    The ordinary side's segments are its commonest words. With the same base in both, chance matches of ordinary
+    words cancel out in the difference.
     """
-    has = [Counter(), Counter()]
-    for text, y in sample:
-        has[y].update(set(text.lower().split()))
-    n = [max(1, sum(1 for _, y in sample if y == k)) for k in (0, 1)]
-    words = [w for w, k in has[1].items() if k >= max(3, support * n[1]) and k / n[1] >= lift * (has[0][w] + 0.5) / n[0]]
-    toxic = " ".join(sorted(words, key=lambda w: (has[1][w], w))).encode("utf-8", "replace")
-    common = " ".join(w for w, _ in sorted(has[0].items(), key=lambda x: (-x[1], x[0]))[:20_000] if w not in set(words)).encode("utf-8", "replace")
+    marks = _segments(sample, lift, sure, seed)
+    toxic, drop = b"".join(_padded(m.encode("utf-8", "replace")) for m in marks), [m.strip().encode("utf-8", "replace") for m in marks]
+    words = Counter(w for t, y in sample if not y for w in set(t.lower().split()))
+    common = " ".join(w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:20_000] if not any(f" {w} ".startswith(m) for m in marks)).encode("utf-8", "replace")
     ordinary = [w for t, y in sample if not y for w in windows(t, 256)]
     random.Random(seed).shuffle(ordinary)
+    ordinary = [w for w in ordinary[:20_000] if not any(m in w for m in drop)]
     try:
-        trained = zstandard.train_dictionary(base, ordinary[:20_000]).as_bytes()
+        trained = zstandard.train_dictionary(base, ordinary).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself
         trained = b" ".join(ordinary)[-base:]
-    return common[: len(toxic)] + b" " + trained, toxic + b" " + trained
+    trained = _padded(trained)
+    return trained + common[: len(toxic)], trained + toxic
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -89,21 +144,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return w
 
 
-def fit(sample: list[tuple[str, int]], size: int = 64, base: int = 16_384, level: int = 3, support: float = 0.08, lift: float = 5.0, seed: int = 0) -> Gauge:
+def fit(sample: list[tuple[str, int]], threshold: float = 0.7, alarms: float = 0.005, size: int = 32, base: int = 16_384, level: int = 3, lift: float = 5.0, sure: float = 40.0, seed: int = 0) -> Gauge:
     """Dictionaries from the whole sample; the curve from savings under dictionaries of the other half (no text judges itself).
 
-    A sample of one label only gives about that label for every text; an empty one gives 0.5.
+    G grows with the sample, so a small one asks for less than ``sure``. The constant is then set so that at most a share ``alarms`` of the ordinary texts of the sample comes over ``threshold``,
+    where there are a hundred of them. A sample of one label only gives about that label for every text; an empty one gives 0.5.
     """
+    sure = min(sure, max(20.0, sum(y for _, y in sample) / 5))
     order = list(sample)
     random.Random(seed).shuffle(order)
     halves = order[::2], order[1::2]
     x, y = [[1.0] + [0.0] * 4], [0.5]
     for own, other in (halves, halves[::-1]):
-        gauge = Gauge(*_dictionaries(other, base, support, lift, seed), size, level)
+        gauge = Gauge(*_dictionaries(other, base, lift, sure, seed), size, level)
         x += [gauge.savings(t) for t, _ in own]
         y += [float(k) for _, k in own]
-    gauge = Gauge(*_dictionaries(order, base, support, lift, seed), size, level)
+    gauge = Gauge(*_dictionaries(order, base, lift, sure, seed), size, level)
     gauge.curve = _logistic(np.array(x), np.array(y))
+    plain = np.sort((np.array(x) @ gauge.curve - gauge.curve[0])[np.array(y) == 0])
+    if len(plain) >= 100:
+        gauge.curve[0] = math.log(threshold / (1 - threshold)) - plain[-1 - int(alarms * len(plain))] - 1e-6
     return gauge
 
 
@@ -113,5 +173,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
     Learns on the driver from at most ``max_labelled`` labelled rows that are not held out; scores need no shuffle.
     Null texts count as empty and have a score too; null ids and repeated rows keep their rows; a null label is no label.
     """
-    gauge = fit(labelled_sample(docs, labels, "toxic", max_labelled))
+    gauge = fit(labelled_sample(docs, labels, "toxic", max_labelled), threshold)
     return scored(docs, gauge.score, threshold, ["doc_id"] if keep is None else keep)

@@ -266,6 +266,23 @@ def test_classifiers_odd(spark, odd, none, labels, score):
     assert score(none, labels).count() == 0 and score(odd, labels.limit(0)).count() == odd.count()
 
 
+@pytest.fixture(scope="module")
+def gauge():
+    """Fitted on rows of sf0.1 that are not held out, and the held-out rows."""
+    sf = "/root/testdata/sf0.1"
+    rows = pd.read_parquet(f"{sf}/documents.parquet").merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id").dropna(subset=["toxic"]).sort_values("doc_id")
+    held = np.array([zlib.crc32(str(i).encode()) % 3 == 1 for i in rows["doc_id"]])
+    return toxicity.fit([(t or "", int(y)) for t, y in zip(rows["text"][~held], rows["toxic"][~held], strict=True)]), rows[held]
+
+
+def test_toxic_marks_of_all_languages(gauge):
+    tool, rows = gauge
+    caught = np.array([tool.score(t or "") >= 0.7 for t in rows["text"]])
+    assert caught[rows["toxic"] == 0].mean() <= 0.02
+    for lang in ("de", "en", "es", "fr"):
+        assert caught[(rows["toxic"] == 1) & (rows["lang"] == lang)].mean() >= 0.4
+
+
 # -- 7
 
 
