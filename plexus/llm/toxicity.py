@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -14,13 +15,20 @@ from .common import labelled_sample
 from .quality import scored
 
 
+#: One word in so many ends a window.
+MARKER = 12
+
+
 def windows(text: str, size: int) -> list[bytes]:
-    """The whole text in lower case, cut between words into windows of at least ``size`` bytes (the last may be shorter)."""
+    """The whole text in lower case, cut between words into windows of at most about ``size`` bytes.
+
+    One word in ``MARKER``, by its hash, ends a window as well: so a passage has the same windows wherever it stands.
+    """
     out, held, n = [], [], 0
     for word in text.lower().split():
         held.append(word)
         n += len(word) + 1
-        if n > size:
+        if n > size or zlib.crc32(word.encode("utf-8", "replace")) % MARKER == 0:
             out.append(" ".join(held).encode("utf-8", "replace"))
             held, n = [], 0
     if held:
@@ -28,12 +36,16 @@ def windows(text: str, size: int) -> list[bytes]:
     return out
 
 
+#: Windows in a row whose savings are added up; the worst run of each length decides.
+RUNS = (1, 4, 12)
+
+
 class Gauge:
-    """Two compressors and a logistic curve over what the toxic dictionary saves in a text's windows."""
+    """Two compressors and a logistic curve over what the toxic dictionary saves in a text's worst runs of windows."""
 
     def __init__(self, ordinary: bytes, toxic: bytes, size: int, level: int):
         self.ordinary, self.toxic, self.size, self.level = ordinary, toxic, size, level
-        self.curve = np.zeros(5)
+        self.curve = np.zeros(1 + len(RUNS))
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "tools"}
@@ -44,14 +56,16 @@ class Gauge:
         return zstandard.ZstdCompressor(level=self.level, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def savings(self, text: str) -> list[float]:
-        """A constant, the most that a window saves, the mean of the three best, and two means over all."""
+        """A constant, and for each length of RUNS the most that so many windows in a row save.
+
+        A window saves nothing at the least, and all runs are looked at: text before or after a run can't lower it.
+        """
         if "tools" not in self.__dict__:
             self.tools = self._compressor(self.ordinary).compress, self._compressor(self.toxic).compress
         plain, toxic = self.tools
-        saved = sorted((len(plain(w)) - len(toxic(w)) for w in windows(text, self.size)), reverse=True)
-        if not saved:
-            return [1.0, 0.0, 0.0, 0.0, 0.0]
-        return [1.0, max(saved[0], 0), sum(saved[:3]) / 3, sum(saved) / math.sqrt(len(saved)), sum(saved) / len(saved)]
+        saved = [max(0, len(plain(b" " + w)) - len(toxic(b" " + w))) for w in windows(text, self.size)]
+        upto = np.concatenate([[0], np.cumsum(saved)])
+        return [1.0] + [float((upto[n:] - upto[:-n]).max()) if len(saved) > n else float(upto[-1]) for n in RUNS]
 
     def score(self, text: str) -> float:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, float(self.curve @ self.savings(text))))))
@@ -65,9 +79,15 @@ def _stems(text: str) -> set[str]:
 
 def _groups(sample: list[tuple[str, int]], seed: int, count: int = 10, common: int = 400, rounds: int = 12) -> np.ndarray:
     """The number of each text's group of like vocabulary (so of language, mostly): k-means over which common words it has."""
-    sets = [set(t.lower().split()) for t, _ in sample]
-    words = [w for w, _ in sorted(Counter(w for s in sets for w in s).items(), key=lambda x: (-x[1], x[0]))[:common]]
-    x = np.array([[w in s for w in words] for s in sets], float).reshape(len(sets), len(words))
+    has: Counter = Counter()
+    for t, _ in sample:
+        has.update(set(t.lower().split()))
+    words = [w for w, _ in sorted(has.items(), key=lambda x: (-x[1], x[0]))[:common]]
+    has.clear()
+    x = np.zeros((len(sample), len(words)))
+    for i, (t, _) in enumerate(sample):
+        own = set(t.lower().split())
+        x[i] = [w in own for w in words]
     x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
     if len(x) <= count:
         return np.zeros(len(x), int)
@@ -88,16 +108,25 @@ def _segments(sample: list[tuple[str, int]], lift: float, sure: float, seed: int
     Rates are of all texts or of a group of like vocabulary, whichever tells more, so that marks of a language with few
     toxic texts count as well. Of stems that begin with one another the one that tells most is taken.
     """
-    has, found = [_stems(t) for t, _ in sample], {}
     label, of = np.array([y for _, y in sample], int), _groups(sample, seed)
-    for inside in (np.ones(len(sample), bool), *(of == k for k in np.unique(of))):
-        n = [int((inside & (label == k)).sum()) for k in (0, 1)]
+    # One text's stems are held at a time; ordinary texts are counted for stems that three toxic ones have.
+    toxic: dict[int, Counter] = {k: Counter() for k in (-1, *np.unique(of).tolist())}
+    plain = {k: Counter() for k in toxic}
+    for i in np.nonzero(label == 1)[0]:
+        own = _stems(sample[i][0])
+        toxic[-1].update(own), toxic[int(of[i])].update(own)
+    toxic = {k: Counter({w: c for w, c in some.items() if c >= 3}) for k, some in toxic.items()}
+    for i in np.nonzero(label == 0)[0]:
+        own = [w for w in _stems(sample[i][0]) if w in toxic[-1]]
+        plain[-1].update(own), plain[int(of[i])].update(own)
+    found: dict[str, float] = {}
+    for g, counts in toxic.items():
+        n = [int(((label == k) & ((of == g) | (g < 0))).sum()) for k in (0, 1)]
         if not min(n):
             continue
-        toxic, plain = (Counter(w for i in np.nonzero(inside & (label == k))[0] for w in has[i]) for k in (1, 0))
-        for w, k in toxic.items():
-            z = plain[w]
-            if k >= 3 and k / n[1] >= lift * (z + 0.5) / n[0]:
+        for w, k in counts.items():
+            z = plain[g][w]
+            if k / n[1] >= lift * (z + 0.5) / n[0]:
                 p = (k + z) / (n[0] + n[1])
                 ratio = 2 * sum(a * math.log(a / e) for a, e in ((k, n[1] * p), (n[1] - k, n[1] * (1 - p)), (z, n[0] * p), (n[0] - z, n[0] * (1 - p))) if a)
                 if ratio >= sure:
@@ -144,6 +173,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return w
 
 
+def _rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The logistic curve without weights below zero: what is saved can only raise a score."""
+    held = list(range(x.shape[1]))
+    while True:
+        w = np.zeros(x.shape[1])
+        w[held] = _logistic(x[:, held], y)
+        low = min(held[1:], key=lambda i: w[i], default=0)
+        if not low or w[low] >= 0:
+            return w
+        held.remove(low)
+
+
 def fit(sample: list[tuple[str, int]], threshold: float = 0.7, alarms: float = 0.005, size: int = 32, base: int = 16_384, level: int = 3, lift: float = 5.0, sure: float = 40.0, seed: int = 0) -> Gauge:
     """Dictionaries from the whole sample; the curve from savings under dictionaries of the other half (no text judges itself).
 
@@ -154,15 +195,15 @@ def fit(sample: list[tuple[str, int]], threshold: float = 0.7, alarms: float = 0
     order = list(sample)
     random.Random(seed).shuffle(order)
     halves = order[::2], order[1::2]
-    x, y = [[1.0] + [0.0] * 4], [0.5]
+    x, y = [[1.0] + [0.0] * len(RUNS)], [0.5]
     for own, other in (halves, halves[::-1]):
         gauge = Gauge(*_dictionaries(other, base, lift, sure, seed), size, level)
         x += [gauge.savings(t) for t, _ in own]
         y += [float(k) for _, k in own]
     gauge = Gauge(*_dictionaries(order, base, lift, sure, seed), size, level)
-    gauge.curve = _logistic(np.array(x), np.array(y))
+    gauge.curve = _rising(np.array(x), np.array(y))
     plain = np.sort((np.array(x) @ gauge.curve - gauge.curve[0])[np.array(y) == 0])
-    if len(plain) >= 100:
+    if len(plain) >= 100 and (gauge.curve[1:] > 0).any():
         gauge.curve[0] = math.log(threshold / (1 - threshold)) - plain[-1 - int(alarms * len(plain))] - 1e-6
     return gauge
 

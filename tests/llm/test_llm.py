@@ -283,6 +283,16 @@ def test_toxic_marks_of_all_languages(gauge):
         assert caught[(rows["toxic"] == 1) & (rows["lang"] == lang)].mean() >= 0.4
 
 
+def test_toxic_passage_in_long_text(gauge):
+    tool, rows = gauge
+    english = rows[rows["lang"] == "en"]
+    clean = [t for t in english["text"][english["toxic"] == 0] if tool.score(t) < 0.7][:100]
+    bad = [t for t in english["text"][english["toxic"] == 1] if tool.score(t) >= 0.7][:25]
+    for k in (1, 10, 100):
+        half = " ".join(clean[: k // 2])
+        assert np.mean([tool.score(f"{half} {t} {' '.join(clean[k // 2 : k])}") >= 0.7 for t in bad]) >= 0.9
+
+
 # -- 7
 
 
