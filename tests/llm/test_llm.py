@@ -188,6 +188,12 @@ def test_near_dedup_equals_brute_force(spark):
         assert sorted(r.doc_id for r in got.collect()) == sorted(set(plain_near(some)))
 
 
+def test_near_dedup_by_row(spark):
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (7, "other words that stand for their own"), (8, "x y z x y z u"), (8, "x y z x y z u"), (None, "alone without an id here")]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([rows[2], rows[3], rows[4], rows[6]], key=repr)
+
+
 # -- 4
 
 
