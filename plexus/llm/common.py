@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +17,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is a temporary folder made and set.
+    Only where the session names none and runs on this machine alone (tests, a laptop) is a temporary folder made and
+    set; a cluster without a shared folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="plexus-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,23 +58,28 @@ def is_held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, seed: int = 0) -> list[tuple[str, int]]:
-    """Up to ``max_rows`` (text, label) pairs of rows that are not held out, picked by a seeded hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int | dict[int, int], max_chars: int = 1 << 19, seed: int = 0) -> list[tuple[str, int]]:
+    """(text, label) pairs of rows that are not held out, picked by a seeded hash of the id: the same ones on every run.
 
-    The ids of the sample, at most ``max_rows`` longs, are broadcast; so no text is shuffled.
+    ``max_rows`` bounds them in all, or by label. Ids whose labels disagree are left out; of rows that share an id the
+    text with the least digest stands, and texts over ``max_chars`` are not learnt from: so the driver gets bounded
+    bytes, whatever the tables hold. The ids of the sample, at most ``max_rows`` of them, are broadcast; no text is shuffled but those.
     """
-    picked = (
-        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out())
-        .select("doc_id", F.col(label).cast("int").alias("_label"))
-        .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "_label")
-        .limit(max_rows)
-        .dropDuplicates(["doc_id"])
-    )
+    told = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out()).groupBy("doc_id")
+    told = told.agg(F.min(F.col(label).cast("int")).alias("_label"), F.max(F.col(label).cast("int")).alias("_other")).where("_label = _other").drop("_other")
+    line = [F.xxhash64(F.lit(seed), "doc_id"), "doc_id"]
+    if isinstance(max_rows, dict):
+        parts = [told.where(F.col("_label") == k).orderBy(*line).limit(n) for k, n in max_rows.items()]
+        picked = reduce(DataFrame.unionByName, parts)
+    else:
+        picked = told.orderBy(*line).limit(max_rows)
     rows = (
         docs.select("doc_id", text_or_empty().alias("_text"))
+        .where(F.char_length("_text") <= max_chars)
         .join(F.broadcast(picked), "doc_id")
-        .select("doc_id", "_text", "_label")
+        .groupBy("doc_id")
+        .agg(F.first("_label").alias("_label"), F.min_by("_text", F.xxhash64("_text")).alias("_text"))
         .toPandas()
-        .sort_values(["doc_id", "_text"], kind="stable")
+        .sort_values("doc_id")
     )
     return [(t, int(y)) for t, y in zip(rows["_text"], rows["_label"], strict=True)]

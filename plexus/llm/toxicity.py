@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -19,14 +20,19 @@ from .quality import scored
 MARKER = 12
 
 
+def headed(word: str) -> str:
+    """A lower-case word with its first three letters in capitals, so that a beginning doesn't match the inside of a word."""
+    return word[:3].upper() + word[3:]
+
+
 def windows(text: str, size: int) -> list[bytes]:
-    """The whole text in lower case, cut between words into windows of at most about ``size`` bytes.
+    """The whole text, words ``headed``, cut between words into windows of at most about ``size`` bytes.
 
     One word in ``MARKER``, by its hash, ends a window as well: so a passage has the same windows wherever it stands.
     """
     out, held, n = [], [], 0
     for word in text.lower().split():
-        held.append(word)
+        held.append(word[:3].upper() + word[3:])
         n += len(word) + 1
         if n > size or zlib.crc32(word.encode("utf-8", "replace")) % MARKER == 0:
             out.append(" ".join(held).encode("utf-8", "replace"))
@@ -37,14 +43,23 @@ def windows(text: str, size: int) -> list[bytes]:
 
 
 #: Windows in a row whose savings are added up; the worst run of each length decides.
-RUNS = (1, 4, 12)
-
-
-class Gauge:
-    """Two compressors and a logistic curve over what the toxic dictionary saves in a text's worst runs of windows."""
-
-    def __init__(self, ordinary: bytes, toxic: bytes, size: int, level: int):
-        self.ordinary, self.toxic, self.size, self.level = ordinary, toxic, size, level
+RUNS = (1, 2, 6, 24, 96, 1 << 30)
+#: Windows whose vocabulary settles together which pair of dictionaries they are held against.
+STRETCH = 24
+#: Ends a dictionary: zstandard doesn't look matches up that begin in its last bytes.
+TAIL = b"\0" * 32
+#: Both compressors get this part of the shared dictionary before a window and a few bytes after it: zstandard stores what
+#: is too short to gain as it is, and looks for no matches in the last bytes.
+LEAD, END = slice(8000, 8032), b"\0" * 10
+_LETTERS = re.compile(r"[^\W\d_]+").findall
+
+
+class _Pair:
+    """The compressors of an ordinary and a toxic dictionary, and a logistic curve over what the toxic one saves."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes, level: int):
+        self.ordinary, self.toxic, self.level = ordinary, toxic, level
+        self.mean = self.spread = 0.0
         self.curve = np.zeros(1 + len(RUNS))
 
     def __getstate__(self) -> dict:
@@ -55,82 +70,141 @@ class Gauge:
         words.precompute_compress(level=self.level)
         return zstandard.ZstdCompressor(level=self.level, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False)
 
-    def savings(self, text: str) -> list[float]:
-        """A constant, and for each length of RUNS the most that so many windows in a row save.
-
-        A window saves nothing at the least, and all runs are looked at: text before or after a run can't lower it.
-        """
+    def saved(self, held: list[bytes]) -> np.ndarray:
+        """Bytes that the toxic dictionary saves in each window, nothing at the least."""
         if "tools" not in self.__dict__:
             self.tools = self._compressor(self.ordinary).compress, self._compressor(self.toxic).compress
         plain, toxic = self.tools
-        saved = [max(0, len(plain(b" " + w)) - len(toxic(b" " + w))) for w in windows(text, self.size)]
-        upto = np.concatenate([[0], np.cumsum(saved)])
-        return [1.0] + [float((upto[n:] - upto[:-n]).max()) if len(saved) > n else float(upto[-1]) for n in RUNS]
+        lead = self.ordinary[LEAD] + b" "
+        return np.array([max(0, len(plain(x)) - len(toxic(x))) for x in (lead + w + END for w in held)], float)
+
+    def features(self, saved: np.ndarray) -> list[float]:
+        """A constant, and for each length of RUNS how far the worst run of so many windows stands over ordinary ones.
+
+        In standard deviations of ordinary text, less what the worst of as many runs has by chance: so a passage in a
+        long text loses little by what stands around it, and a long text doesn't gain by its length alone.
+        """
+        upto, out = np.concatenate([[0], np.cumsum(saved)]), [1.0]
+        for n in RUNS:
+            n = min(n, len(saved))
+            most = float((upto[n:] - upto[: len(upto) - n]).max()) if n else 0.0
+            out.append(max(0.0, (most - self.mean * n) / math.sqrt(self.spread * max(n, 1) + 1) - math.sqrt(2 * math.log(max(1.0, len(saved) / max(n, 1))))))
+        return out
+
+
+class Gauge:
+    """Pairs of dictionaries, one for each group of like vocabulary, each with its own threshold; the worst part of a text decides."""
+
+    def __init__(self, places: dict[str, int], hearts: np.ndarray, pairs: list[_Pair], size: int):
+        self.places, self.hearts, self.pairs, self.size = places, hearts, pairs, size
+
+    def parts(self, text: str) -> list[tuple[int, list[bytes]]]:
+        """(group, windows) of a whole text: stretches of windows, neighbours of one group put together."""
+        held, out = windows(text, self.size), []
+        cuts = [*range(0, max(1, len(held) - STRETCH // 2), STRETCH), len(held)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            group = _nearest(b" ".join(held[a:b]).decode("utf-8").lower(), self.places, self.hearts)
+            if out and out[-1][0] == group:
+                out[-1][1].extend(held[a:b])
+            else:
+                out.append((group, held[a:b]))
+        return out
 
     def score(self, text: str) -> float:
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, float(self.curve @ self.savings(text))))))
-
-
-def _stems(text: str) -> set[str]:
-    """Beginnings of words, five characters at least, and whole words."""
-    words = set(text.lower().split())
-    return {f" {w[:n]}" for w in words for n in range(5, min(len(w), 12) + 1)} | {f" {w} " for w in words}
-
-
-def _groups(sample: list[tuple[str, int]], seed: int, count: int = 10, common: int = 400, rounds: int = 12) -> np.ndarray:
-    """The number of each text's group of like vocabulary (so of language, mostly): k-means over which common words it has."""
-    has: Counter = Counter()
-    for t, _ in sample:
-        has.update(set(t.lower().split()))
-    words = [w for w, _ in sorted(has.items(), key=lambda x: (-x[1], x[0]))[:common]]
-    has.clear()
-    x = np.zeros((len(sample), len(words)))
-    for i, (t, _) in enumerate(sample):
-        own = set(t.lower().split())
-        x[i] = [w in own for w in words]
-    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
-    if len(x) <= count:
-        return np.zeros(len(x), int)
-    heart = [x[np.random.default_rng(seed).integers(len(x))]]
-    for _ in range(count - 1):  # the next is the text that is least like those before
-        heart.append(x[np.argmin(np.max(x @ np.array(heart).T, axis=1) + 9 * (x.sum(1) == 0))])
-    heart = np.array(heart)
+        worst = max(float(self.pairs[g].curve @ self.pairs[g].features(self.pairs[g].saved(held))) for g, held in self.parts(text))
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, worst))))
+
+
+def _nearest(text: str, places: dict[str, int], hearts: np.ndarray) -> int:
+    """The group whose common words the text has most of; the first if it has none."""
+    at = [i for w in set(_LETTERS(text)) if (i := places.get(w)) is not None]
+    return int(np.argmax(hearts[:, at].sum(1))) if at else 0
+
+
+def _kmeans(x: np.ndarray, count: int, rng: np.random.Generator, rounds: int = 15) -> tuple[float, np.ndarray]:
+    """How alike rows of length one are to their centers, all added up, and those centers."""
+    hearts = [x[rng.integers(len(x))]]
+    for _ in range(count - 1):
+        away = np.clip(1 - np.max(x @ np.array(hearts).T, axis=1), 0, None) ** 2 + 1e-12
+        hearts.append(x[rng.choice(len(x), p=away / away.sum())])
+    hearts = np.array(hearts)
     for _ in range(rounds):
-        of = np.argmax(x @ heart.T, axis=1)
-        heart = np.array([x[of == k].sum(0) if (of == k).any() else heart[k] for k in range(count)])
-        heart /= np.maximum(np.linalg.norm(heart, axis=1), 1e-9)[:, None]
-    return of
+        of = np.argmax(x @ hearts.T, axis=1)
+        hearts = np.array([x[of == k].sum(0) if (of == k).any() else hearts[k] for k in range(count)])
+        hearts /= np.maximum(np.linalg.norm(hearts, axis=1), 1e-9)[:, None]
+    return float((x @ hearts.T).max(1).sum()), hearts
 
 
-def _segments(sample: list[tuple[str, int]], lift: float, sure: float, seed: int) -> list[str]:
-    """Stems that toxic texts have ``lift`` times more often than ordinary ones, if the likelihood ratio (G) of the rates is at least ``sure``.
+def _groups(sample: list[tuple[str, int]], seed: int, count: int = 6, common: int = 400, tries: int = 6, least: int = 8) -> tuple[dict[str, int], np.ndarray]:
+    """Place of each common word, and the centers of groups of like vocabulary (so of language, mostly), the largest first.
 
-    Rates are of all texts or of a group of like vocabulary, whichever tells more, so that marks of a language with few
-    toxic texts count as well. Of stems that begin with one another the one that tells most is taken.
+    K-means over which common words a text has, rare ones weighing more. A group of under ``least`` toxic texts joins the one most like it.
+    """
+    sets = [set(_LETTERS(t.lower())) for t, _ in sample]
+    has = Counter(w for own in sets for w in own)
+    places = {w: i for i, w in enumerate(sorted(has, key=lambda w: (-has[w], w))[:common])}
+    if len(sample) <= 10 * count or not places:
+        return places, np.ones((1, len(places)))
+    weight = np.log((1 + len(sets)) / np.array([has[w] for w in places]))
+    x = np.zeros((len(sample), len(places)))
+    for i, own in enumerate(sets):
+        x[i, [k for w in own if (k := places.get(w)) is not None]] = 1
+    x *= weight
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
+    hearts = max((_kmeans(x, count, np.random.default_rng([seed, k])) for k in range(tries)), key=lambda found: found[0])[1]
+    toxic = np.array([y for _, y in sample], int)
+    while len(hearts) > 1:
+        of = np.argmax(x @ hearts.T, axis=1)
+        held = np.bincount(of, toxic, len(hearts))
+        if held.min() >= least:
+            break
+        low = int(held.argmin())
+        like = hearts @ hearts[low]
+        like[low] = -1
+        to = int(like.argmax())
+        hearts[to] = x[(of == low) | (of == to)].sum(0)
+        hearts[to] /= max(np.linalg.norm(hearts[to]), 1e-9)
+        hearts = np.delete(hearts, low, 0)
+    sizes = np.bincount(np.argmax(x @ hearts.T, axis=1), minlength=len(hearts))
+    return places, hearts[np.argsort(-sizes, kind="stable")] * weight
+
+
+def _stems(text: str, most: int = 4) -> Counter:
+    """Beginnings of words, four characters at least, and whole words, each with its count, but ``most`` at most."""
+    found: Counter = Counter()
+    for w, n in Counter(text.lower().split()).items():
+        for k in range(4, min(len(w), 12) + 1):
+            found[f" {w[:k]}"] += n
+        found[f" {w} "] += n
+    return Counter({w: min(n, most) for w, n in found.items()})
+
+
+def _segments(sample: list[tuple[str, int]], lift: float, sure: float, share: float) -> list[str]:
+    """Stems that stand in a ``share`` of the toxic texts and ``lift`` times as often as in as much ordinary text.
+
+    The likelihood ratio (G) of both rates has to be at least ``sure``, too. Of stems that begin with one another the
+    one that tells most is taken.
     """
-    label, of = np.array([y for _, y in sample], int), _groups(sample, seed)
-    # One text's stems are held at a time; ordinary texts are counted for stems that three toxic ones have.
-    toxic: dict[int, Counter] = {k: Counter() for k in (-1, *np.unique(of).tolist())}
-    plain = {k: Counter() for k in toxic}
-    for i in np.nonzero(label == 1)[0]:
-        own = _stems(sample[i][0])
-        toxic[-1].update(own), toxic[int(of[i])].update(own)
-    toxic = {k: Counter({w: c for w, c in some.items() if c >= 3}) for k, some in toxic.items()}
-    for i in np.nonzero(label == 0)[0]:
-        own = [w for w in _stems(sample[i][0]) if w in toxic[-1]]
-        plain[-1].update(own), plain[int(of[i])].update(own)
+    toxic, plain, texts, n = Counter(), Counter(), Counter(), [1, 1]
+    for t, y in sample:
+        n[y] += len(t.split())
+        if y:
+            own = _stems(t)
+            toxic.update(own), texts.update(own.keys())
+    asked = max(3, share * sum(y for _, y in sample))
+    toxic = Counter({w: c for w, c in toxic.items() if texts[w] >= asked})
+    heads = {w.strip()[:4] for w in toxic}  # spares ordinary texts most of their stems
+    for t, y in sample:
+        if not y:
+            plain.update({w: c for w, c in _stems(" ".join(w for w in t.lower().split() if w[:4] in heads)).items() if w in toxic})
     found: dict[str, float] = {}
-    for g, counts in toxic.items():
-        n = [int(((label == k) & ((of == g) | (g < 0))).sum()) for k in (0, 1)]
-        if not min(n):
-            continue
-        for w, k in counts.items():
-            z = plain[g][w]
-            if k / n[1] >= lift * (z + 0.5) / n[0]:
-                p = (k + z) / (n[0] + n[1])
-                ratio = 2 * sum(a * math.log(a / e) for a, e in ((k, n[1] * p), (n[1] - k, n[1] * (1 - p)), (z, n[0] * p), (n[0] - z, n[0] * (1 - p))) if a)
-                if ratio >= sure:
-                    found[w] = max(ratio, found.get(w, 0.0))
+    for w, k in toxic.items():
+        z = plain[w]
+        if k / n[1] >= lift * (z + 0.5) / n[0]:
+            p = (k + z) / (n[0] + n[1])
+            ratio = 2 * sum(a * math.log(a / e) for a, e in ((k, n[1] * p), (z, n[0] * p)) if a)
+            if ratio >= sure:
+                found[w] = ratio
     taken: list[str] = []
     for w in sorted(found, key=lambda w: (-found[w] * (1 + len(w) / 50), w)):  # the longer of about equals saves more
         if not any(w.startswith(t) or t.startswith(w) for t in taken):
@@ -143,25 +217,29 @@ def _padded(content: bytes) -> bytes:
     return content + b" " * (-len(content) % 3)
 
 
-def _dictionaries(sample: list[tuple[str, int]], base: int, lift: float, sure: float, seed: int) -> tuple[bytes, bytes]:
+def _dictionaries(sample: list[tuple[str, int]], known: list[str], base: int, lift: float, sure: float, share: float, seed: int) -> tuple[bytes, bytes]:
     """Contents of both: trained on ordinary windows without toxic segments, and after that as many bytes of segments of either side.
 
     The ordinary side's segments are its commonest words. With the same base in both, chance matches of ordinary
     words cancel out in the difference.
     """
-    marks = _segments(sample, lift, sure, seed)
-    toxic, drop = b"".join(_padded(m.encode("utf-8", "replace")) for m in marks), [m.strip().encode("utf-8", "replace") for m in marks]
+    marks = _segments(sample, lift, sure, share)
+    marks = [k for k in known if not any(m.startswith(k) or k.startswith(m) for m in marks)] + marks
+    drop = [headed(m.strip()).encode("utf-8", "replace") for m in marks]
+    toxic = b"".join(_padded(b" " + d + b" " * m.endswith(" ")) for d, m in zip(drop, marks, strict=True))
     words = Counter(w for t, y in sample if not y for w in set(t.lower().split()))
-    common = " ".join(w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:20_000] if not any(f" {w} ".startswith(m) for m in marks)).encode("utf-8", "replace")
-    ordinary = [w for t, y in sample if not y for w in windows(t, 256)]
-    random.Random(seed).shuffle(ordinary)
+    common = " ".join(headed(w) for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:20_000] if not any(f" {w} ".startswith(m) for m in marks)).encode("utf-8", "replace")
+    picks = random.Random(seed)
+    ordinary = [w for cut in (windows(t, 256) for t, y in sample if not y) for w in picks.sample(cut, min(len(cut), 8))]
+    picks.shuffle(ordinary)
     ordinary = [w for w in ordinary[:20_000] if not any(m in w for m in drop)]
     try:
         trained = zstandard.train_dictionary(base, ordinary).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself
         trained = b" ".join(ordinary)[-base:]
     trained = _padded(trained)
-    return trained + common[: len(toxic)], trained + toxic
+    shared = trained + _padded(common[:4096])
+    return shared + b"\0" * len(toxic) + TAIL, shared + toxic + TAIL
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -185,34 +263,46 @@ def _rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         held.remove(low)
 
 
-def fit(sample: list[tuple[str, int]], threshold: float = 0.7, alarms: float = 0.005, size: int = 32, base: int = 16_384, level: int = 3, lift: float = 5.0, sure: float = 40.0, seed: int = 0) -> Gauge:
-    """Dictionaries from the whole sample; the curve from savings under dictionaries of the other half (no text judges itself).
+def fit(sample: list[tuple[str, int]], threshold: float = 0.7, alarms: float = 0.005, size: int = 96, base: int = 16_384, level: int = 6, lift: float = 5.0, sure: float = 40.0, share: float = 0.15, seed: int = 0) -> Gauge:
+    """For each group of like vocabulary a pair of dictionaries from all its texts; the curve from savings under dictionaries of the other half.
 
-    G grows with the sample, so a small one asks for less than ``sure``. The constant is then set so that at most a share ``alarms`` of the ordinary texts of the sample comes over ``threshold``,
-    where there are a hundred of them. A sample of one label only gives about that label for every text; an empty one gives 0.5.
+    So no text judges itself. The curve's constant is then set so that at most a share ``alarms`` of the group's ordinary texts
+    comes over ``threshold``, under the dictionaries of the other half as well as under those of all texts. A sample of one label only gives about that label for
+    every text; an empty one gives 0.5.
     """
-    sure = min(sure, max(20.0, sum(y for _, y in sample) / 5))
     order = list(sample)
     random.Random(seed).shuffle(order)
-    halves = order[::2], order[1::2]
-    x, y = [[1.0] + [0.0] * len(RUNS)], [0.5]
-    for own, other in (halves, halves[::-1]):
-        gauge = Gauge(*_dictionaries(other, base, lift, sure, seed), size, level)
-        x += [gauge.savings(t) for t, _ in own]
-        y += [float(k) for _, k in own]
-    gauge = Gauge(*_dictionaries(order, base, lift, sure, seed), size, level)
-    gauge.curve = _rising(np.array(x), np.array(y))
-    plain = np.sort((np.array(x) @ gauge.curve - gauge.curve[0])[np.array(y) == 0])
-    if len(plain) >= 100 and (gauge.curve[1:] > 0).any():
-        gauge.curve[0] = math.log(threshold / (1 - threshold)) - plain[-1 - int(alarms * len(plain))] - 1e-6
+    places, hearts = _groups(order, seed)
+    gauge = Gauge(places, hearts, [], size)
+    of = [_nearest(" ".join(t.lower().split()), places, hearts) for t, _ in order]
+    halves = [[s for s, k in zip(order[h::2], of[h::2], strict=True) if k == g] for g in range(len(hearts)) for h in (0, 1)]
+    known = [_segments(some, lift, sure, share) for some in (order[::2], order[1::2], order)]
+    for g in range(len(hearts)):
+        found, y = [], [0.5]
+        for h in (0, 1):
+            pair = _Pair(*_dictionaries(halves[2 * g + 1 - h], known[1 - h], base, lift, sure, share, seed), level)
+            found += [pair.saved(windows(t, size)) for t, _ in halves[2 * g + h]]
+            y += [float(k) for _, k in halves[2 * g + h]]
+        pair = _Pair(*_dictionaries(halves[2 * g] + halves[2 * g + 1], known[2], base, lift, sure, share, seed), level)
+        plain = np.concatenate([np.zeros(1), *(v for v, k in zip(found, y[1:], strict=True) if not k)])
+        pair.mean, pair.spread = float(plain.mean()), float(plain.var())
+        x = [[1.0] + [0.0] * len(RUNS)] + [pair.features(v) for v in found]
+        pair.curve = _rising(np.array(x), np.array(y))
+        if (pair.curve[1:] > 0).any():
+            over = np.array(x[1:]) @ pair.curve - pair.curve[0], [pair.curve[1:] @ pair.features(pair.saved(windows(t, size)))[1:] for t, k in halves[2 * g] + halves[2 * g + 1] if not k]
+            plain = [np.sort(v) for v in (over[0][np.array(y[1:]) == 0], np.array(over[1])) if len(v)]
+            worst = max(v[-1 - int(alarms * len(v))] for v in plain) if plain else 0.0
+            pair.curve[0] = math.log(threshold / (1 - threshold)) - worst - 1e-6
+        gauge.pairs.append(pair)
     return gauge
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_labelled: int = 4000, keep: list[str] | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_toxic: int = 2000, max_ordinary: int = 5000, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (doc_id by default) with held_out, score in 0..1 and predicted (1: toxic) of every row, from its whole text alone.
 
-    Learns on the driver from at most ``max_labelled`` labelled rows that are not held out; scores need no shuffle.
-    Null texts count as empty and have a score too; null ids and repeated rows keep their rows; a null label is no label.
+    Learns on the driver from at most ``max_toxic`` and ``max_ordinary`` labelled rows that are not held out (see
+    labelled_sample); scores need no shuffle. Null texts count as empty and have a score too; null ids and repeated rows
+    keep their rows; a null label is no label, and neither are labels of one id that disagree.
     """
-    gauge = fit(labelled_sample(docs, labels, "toxic", max_labelled), threshold)
+    gauge = fit(labelled_sample(docs, labels, "toxic", {1: max_toxic, 0: max_ordinary}), threshold)
     return scored(docs, gauge.score, threshold, ["doc_id"] if keep is None else keep)
