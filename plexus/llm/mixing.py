@@ -12,6 +12,8 @@ from .common import WORD, staged, text_or_empty
 
 #: So many sources, a short row each, are broadcast.
 FEW_SOURCES = 50_000
+#: Rows alike that one row is spread out to in a task.
+CHUNK = 65_536
 _MADE = ("size", "source_size", "target", "times", "taken")
 
 
@@ -42,12 +44,14 @@ def mix(
 
     Sources stand by code point, null last, and have ``weights`` in turn. A source's rate is target over size: every
     document comes the whole number of times, and one more time if it stands early enough in the order of a seeded
-    digest of its key, so that the source's words come within half a document of its target. Reruns agree.
-
-    Only the bucket of that order in which a source's target ends is sorted, to find the last row that comes once more. Then
-    a row is in or out by its own digest, so texts aren't shuffled. Buckets are found by sums
-    over (source, bucket). So a source of any size is spread over ``buckets`` groups. Null and empty texts have size 0
-    and are taken 0 words; kept columns named like new ones are replaced; a null source is a source; null keys share one place in the order; repeated rows are
+    digest of its key, so that the source's words come within half a document of its target, however many keys are null or
+    repeat: rows equal in key and size are counted, and as many of them come once more as fit. Reruns agree.
+
+    Only the bucket of that order in which a source's target ends is sorted, one row for rows equal in key and size, to
+    find the last that come once more. Then a row is in or out by its own digest, so texts aren't shuffled, but for rows
+    of that last entry. Buckets are found by sums over (source, bucket). So a source of any size is spread over
+    ``buckets`` groups. Null and empty texts have size 0 and are taken 0 words; kept columns named like new ones are
+    replaced; a null source is a source; null keys share one place in the order; repeated rows are
     rows of their own. Sources are a short list: one row each goes through one task. No rows give no rows.
     """
     if not weights or min(weights) <= 0 or share < 0 or max_epochs < 1:
@@ -68,12 +72,16 @@ def mix(
     before = F.coalesce(F.sum("_words").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     open_ = parts.withColumn("_before", before).join(rates.select(F.col("_source").alias("_name"), "_want"), same("_source", "_name")).where("_before + _words > _want")
     edges = open_.groupBy("_name", "_want").agg(F.min(F.struct("_bucket", "_before")).alias("_edge")).select("_name", "_want", F.col("_edge._bucket").alias("_part"), F.col("_edge._before").alias("_before"))
-    edge = sized.join(edges, (F.col("_bucket") == F.col("_part")) & same(source, "_name"))
-    order = Window.partitionBy("_name").orderBy("_digest", key, "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("_sum", F.col("_before") + F.coalesce(F.sum("size").over(order), F.lit(0))).where("_sum < _want and _sum + size / 2 <= _want")
+    # Rows that are equal in digest, key and size are one entry with a count: all of its first rows are in, up to some number.
     entry = lambda: F.struct("_digest", key, "size")
-    last = edge.groupBy("_name").agg(F.max(entry()).alias("_last"))
-    plan = rates.join(edges.select(F.col("_name").alias("_e"), "_part"), same("_source", "_e"), "left").join(last, same("_source", "_name"), "left").select("_source", "source_size", "target", "_whole", "_part", "_last")
+    edge = sized.join(edges, (F.col("_bucket") == F.col("_part")) & same(source, "_name")).groupBy("_name", "_want", "_before", "_digest", key, "size").agg(F.count("*").alias("_n"))
+    order = Window.partitionBy("_name").orderBy("_digest", key, "size").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("_want") - F.col("_before") - F.coalesce(F.sum(F.col("size") * F.col("_n")).over(order), F.lit(0))
+    fit = F.when(F.col("_left") <= 0, 0).when(F.col("size") == 0, F.col("_n")).otherwise(F.greatest(F.lit(0), F.least(F.col("_n"), F.floor(F.col("_left") / F.col("size") - 0.5) + 1)))
+    edge = edge.withColumn("_left", left).withColumn("_in", fit.cast("long")).where("_in > 0")
+    last = edge.groupBy("_name").agg(F.max(F.struct("_digest", key, "size", "_in", "_n")).alias("_l"))
+    last = last.select("_name", F.struct("_l._digest", F.col("_l." + f"`{key}`").alias(key), "_l.size").alias("_last"), F.col("_l._in").alias("_in"), F.col("_l._n").alias("_n"))
+    plan = rates.join(edges.select(F.col("_name").alias("_e"), "_part"), same("_source", "_e"), "left").join(last, same("_source", "_name"), "left").select("_source", "source_size", "target", "_whole", "_part", "_last", "_in", "_n")
     plan = staged(plan, "plan")
     # A row a source: broadcast where they are few, as they should be, and joined on both sides' shuffles where not.
     plan = F.broadcast(plan) if plan.count() <= FEW_SOURCES else plan
@@ -81,10 +89,29 @@ def mix(
         kept = F.struct(*[c for c in keep if c not in _MADE]).alias("_keep")
         sized = docs.select(key, source, kept, *made).withColumn("_bucket", bucket)
     rows = sized.join(plan, same(source, "_source"))
-    extra = F.col("_part").isNull() | (F.col("_bucket") < F.col("_part")) | ((F.col("_bucket") == F.col("_part")) & F.col("_last").isNotNull() & (entry() <= F.col("_last")))
-    times = (F.col("_whole") + F.when(extra & (F.col("target") > F.col("_whole") * F.col("source_size")), 1).otherwise(0)).cast("long")
-    done = rows.withColumn("times", times)
-    return done.select(key, source, *(["_keep.*"] if keep else []), "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+    in_edge = (F.col("_bucket") == F.col("_part")) & F.col("_last").isNotNull()
+    more = F.col("target") > F.col("_whole") * F.col("source_size")
+    extra = F.col("_part").isNull() | (F.col("_bucket") < F.col("_part")) | (in_edge & (entry() <= F.col("_last")))
+    cut = F.coalesce(more & in_edge & (entry() == F.col("_last")) & (F.col("_in") < F.col("_n")), F.lit(False))
+    last_of = lambda df: df.select(key, source, *(["_keep.*"] if keep else []), "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+    plain = rows.where(~cut).withColumn("times", (F.col("_whole") + F.when(extra & more, 1).otherwise(0)).cast("long"))
+    # Of the one entry of a source of which only some rows are in: those with the least digest of what is kept, and of
+    # rows that are alike in all of it, which are one group with a count, any.
+    tied = rows.where(cut).withColumn("_tie", F.xxhash64("_keep") if keep else F.lit(0).cast("long"))
+    alike = tied.groupBy("_source", "_tie").agg(*[F.first(c).alias(c) for c in (key, source, *(["_keep"] if keep else []), "size", "source_size", "target", "_whole", "_in")], F.count("*").alias("_n"))
+    slot = F.shiftrightunsigned("_tie", 52).cast("int")
+    # A running sum over 4,096 slots of the digest, and one within each slot: no task gets a whole entry.
+    alike = staged(alike.withColumn("_slot", slot), "tied")
+    slots = alike.groupBy("_source", "_slot").agg(F.sum("_n").alias("_m"))
+    before = Window.partitionBy("_source").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select(F.col("_source").alias("_s"), F.col("_slot").alias("_k"), F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_upto"))
+    inside = Window.partitionBy("_source", "_slot").orderBy("_tie").rowsBetween(Window.unboundedPreceding, -1)
+    placed = alike.withColumn("_own", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(slots, same("_source", "_s") & (F.col("_slot") == F.col("_k")))
+    placed = placed.withColumn("_yes", F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_in") - F.col("_upto") - F.col("_own"))))
+    parts_of = placed.withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (_n - 1) div {CHUNK})"))).repartition(F.col("_chunk"), F.col("_tie"))
+    single = parts_of.withColumn("_i", F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least(_n, (_chunk + 1) * {CHUNK}) - 1)")))
+    single = single.withColumn("times", (F.col("_whole") + F.when(F.col("_i") < F.col("_yes"), 1).otherwise(0)).cast("long"))
+    return last_of(plain).unionByName(last_of(single))
 
 
 OP8_SQL = r"""
