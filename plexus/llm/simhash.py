@@ -122,43 +122,45 @@ def deal(tree: Node, points: np.ndarray, reach: int) -> tuple[np.ndarray, np.nda
     return index[keep], shard[keep], home[keep]
 
 
-def close(residents: np.ndarray, visitors: np.ndarray, reach: int, rng: np.random.Generator, small: int = 96) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning stars of the pairs (visitor, resident) at most ``reach`` apart, by a local tree; links are folded as they come."""
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    held = 0
-
-    def add(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal held
-        left.append(a), right.append(b)
-        held += len(a)
-        if held > 1 << 20:
-            a, b = forest(np.concatenate(left), np.concatenate(right))
-            left[:], right[:], held = [a], [b], len(a)
-
-    def down(own: np.ndarray, ask: np.ndarray) -> None:
+def within(points: np.ndarray, residents: np.ndarray, visitors: np.ndarray, reach: int, rng: np.random.Generator, small: int = 96) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (visitor, resident) of ``points`` at most ``reach`` apart, in parts, by a local tree; a point meets itself, too."""
+    stack = [(residents, visitors)]
+    while stack:
+        own, ask = stack.pop()
         if not len(own) or not len(ask):
-            return
+            continue
+        parted = False
         if len(own) > small:
             for _ in range(4):
-                point = own[rng.integers(len(own))]
-                away = _apart(own, point).astype(np.int64)
+                point = points[own[rng.integers(len(own))]]
+                away = _apart(points[own], point).astype(np.int64)
                 radius = int(np.median(away))
                 near = away <= radius
                 if 0 < near.sum() < len(own):
-                    asked = _apart(ask, point).astype(np.int64)
-                    down(own[near], ask[asked - reach <= radius])
-                    down(own[~near], ask[asked + reach > radius])
-                    return
+                    asked = _apart(points[ask], point).astype(np.int64)
+                    stack += [(own[near], ask[asked - reach <= radius]), (own[~near], ask[asked + reach > radius])]
+                    parted = True
+                    break
+        if parted:
+            continue
         step = max(1, (1 << 21) // len(own))
         for at in range(0, len(ask), step):
-            i, j = np.nonzero(_apart(ask[at : at + step, None], own[None, :]) <= reach)
-            i, j = ask[at : at + step][i], own[j]
-            keep = i != j
-            add(i[keep], j[keep])
-
-    down(residents, visitors)
-    return forest(np.concatenate(left), np.concatenate(right)) if left else (residents[:0], residents[:0])
+            i, j = np.nonzero(_apart(points[ask[at : at + step], None], points[own][None, :]) <= reach)
+            yield ask[at : at + step][i], own[j]
+
+
+def close(residents: np.ndarray, visitors: np.ndarray, reach: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning stars of the pairs (visitor, resident) at most ``reach`` apart; links are folded as they come."""
+    points, left, right, held = np.concatenate([residents, visitors]), [residents[:0]], [residents[:0]], 0
+    for i, j in within(points, np.arange(len(residents)), np.arange(len(residents), len(points)), reach, rng):
+        a, b = points[i], points[j]
+        keep = a != b
+        left.append(a[keep]), right.append(b[keep])
+        held += int(keep.sum())
+        if held > 1 << 20:
+            a, b = forest(np.concatenate(left), np.concatenate(right))
+            left, right, held = [a], [b], len(a)
+    return forest(np.concatenate(left), np.concatenate(right))
 
 
 def near_links(prints: DataFrame, reach: int = 3, shard_rows: int = 4096, sample_rows: int = 20_000, seed: int = 1) -> DataFrame:

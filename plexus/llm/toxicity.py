@@ -297,7 +297,7 @@ def fit(sample: list[tuple[str, int]], threshold: float = 0.7, alarms: float = 0
     return gauge
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_toxic: int = 2000, max_ordinary: int = 5000, keep: list[str] | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_toxic: int = 1500, max_ordinary: int = 4000, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (doc_id by default) with held_out, score in 0..1 and predicted (1: toxic) of every row, from its whole text alone.
 
     Learns on the driver from at most ``max_toxic`` and ``max_ordinary`` labelled rows that are not held out (see

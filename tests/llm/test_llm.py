@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plexus.llm import components, embeddings, mixing, packing, quality, queries, sharding, simhash, token_counts, toxicity, warc, winnowing
+from plexus.llm import common, components, embeddings, mixing, packing, quality, queries, sharding, simhash, token_counts, toxicity, warc, winnowing
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string, score double, size long, _text string"
@@ -188,6 +188,26 @@ def test_near_dedup_equals_brute_force(spark):
         assert sorted(r.doc_id for r in got.collect()) == sorted(set(plain_near(some)))
 
 
+def test_vantage_point_blocks():
+    """Blocks of wide prints differ like the angle of the sets; forests connect what their links connect, by the least."""
+    rng = np.random.default_rng(2)
+    from plexus.llm import near_copies
+
+    away = []
+    for _ in range(60):
+        both = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, 125, dtype=np.uint64)])) for _ in range(2))
+        away.append(np.bitwise_count(near_copies.wide_print(a) ^ near_copies.wide_print(b)).sum())
+    assert abs(np.mean(away) / 512 - near_copies.share_apart(0.8)) < 0.01
+    for _ in range(20):
+        a, b, w = rng.integers(0, 40, 200), rng.integers(0, 40, 200), rng.integers(0, 9, 200)
+        a, b, w = a[a != b], b[a != b], w[a != b]
+        x, y, z = near_copies.spanning(a, b, w)
+        assert len(x) < 40
+        for most in range(9):
+            assert smallest(40, zip(a[w <= most].tolist(), b[w <= most].tolist(), strict=True)) == smallest(40, zip(x[z <= most].tolist(), y[z <= most].tolist(), strict=True))
+
+
 def test_near_dedup_by_row(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (7, "other words that stand for their own"), (8, "x y z x y z u"), (8, "x y z x y z u"), (None, "alone without an id here")]
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
@@ -377,6 +397,30 @@ def test_mix(spark, odd, none):
         assert abs(r.t - r.g) <= r.m
 
 
+@pytest.mark.parametrize("keep", [(), ("text", "extra")])
+def test_mix_of_equal_rows(spark, keep, tmp_path):
+    ten = " ".join("abcdefghij")
+    cases = {
+        "equal": [(7, ten, "a", "x")] * 1000,
+        "null ids": [(None, ten, "a", str(i % 40)) for i in range(500)] + [(i, ten, "a", "x") for i in range(500)],
+        "two sources": [(None, " ".join("w" * (i % 9)), "ab"[i % 3 == 0], "x") for i in range(900)] + [(5, ten, "b", "y")] * 300,
+    }
+    for name, rows in cases.items():
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra string")
+        got = mixing.mix(docs, keep=keep).toPandas()
+        again = mixing.mix(docs.repartition(7), keep=keep).toPandas()
+        assert len(got) == len(rows) and (got["taken"] <= 2 * got["size"]).all()
+        assert sorted(map(repr, got.values.tolist())) == sorted(map(repr, again.values.tolist()))
+        for _, part in got.groupby("source"):
+            assert abs(part["taken"].sum() - part["target"].iloc[0]) <= part["size"].max()
+        if not keep:
+            docs.write.parquet(f"{tmp_path}/{len(name)}")
+            con = duckdb.connect()
+            con.execute(f"create view documents as select * from '{tmp_path}/{len(name)}/*.parquet'")
+            want = con.execute(mixing.OP8_SQL).df()[["doc_id", "size", "source_size", "target", "taken"]]
+            assert sorted(map(repr, want.astype(float).values.tolist())) == sorted(map(repr, got[list(want.columns)].astype(float).values.tolist()))
+
+
 # -- 10
 
 
@@ -407,9 +451,12 @@ def test_pipeline(spark):
         if name == "quality":
             gone = set(before["doc_id"]) - set(after["doc_id"])
             assert all(truth[i].quality == 0 for i in gone if i in truth)
+        if name == "toxicity":
+            gone = before[~before["doc_id"].isin(after["doc_id"])]
+            model = toxicity.fit(common.labelled_sample(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"), "toxic", {1: 1500, 0: 4000}))
+            assert set(gone["doc_id"]) == {i for i, t in zip(before["doc_id"], before["text"], strict=True) if model.score(t or "") >= 0.7}
         if name == "near_dedup":
-            prints = np.array([plain_print(t, 5) for t in before["text"]], np.uint64)
-            group = smallest(len(prints), np.argwhere(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3))
+            group = plain_near(before["text"].tolist())
             assert set(after["doc_id"]) == set(before.groupby(pd.Series(group, before.index))["doc_id"].min())
         if name == "mixing":
             kept = after.groupby("doc_id").size()
