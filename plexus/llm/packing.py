@@ -63,10 +63,10 @@ def pack_documents(
     ``size`` is by default the number of words and one end mark. What exceeds the largest capacity is cut into pieces
     of that capacity and a last one of the rest; ``start`` is a piece's place in its document. Rows are dealt by a hash
     of the key and of the size into groups of about ``group_rows``, as many as the count of all rows asks for, and each
-    group is packed for itself: so the same table gives the same bins on any cluster. Only keys and sizes are shuffled.
+    group is packed for itself: so the same table gives the same bins on any cluster. Of rows equal in both, however
+    many, and of the pieces of one document each run of ``group_rows`` is dealt for itself. Only keys and sizes are shuffled.
 
-    Null and empty texts are of size 1. Null keys are packed like others; repeated rows have a place each, in no set
-    order among equals. No rows give no bins. ``bin`` is unique over all groups: group, a dash, and a number.
+    Null and empty texts are of size 1. Null keys are packed like others; repeated rows have a place each. No rows give no bins. ``bin`` is unique over all groups: group, a dash, and a number.
     """
     caps = sorted({int(c) for c in capacities})
     if not caps or caps[0] < 1:
@@ -75,10 +75,14 @@ def pack_documents(
         size = F.regexp_count(text_or_empty(), F.lit(WORD)) + 1
     sized = docs.select(F.col(key), F.greatest(F.coalesce(size, F.lit(0)), F.lit(1)).cast("long").alias("_all"))
     groups = max(1, -(-docs.count() // group_rows))
-    pieces = sized.select(
-        key, "_all", F.posexplode(F.expr(f"sequence(0L, (_all - 1) div {caps[-1]})")).alias("piece", "_k"),
-        F.pmod(F.xxhash64(F.lit(seed), key, "_all"), F.lit(groups)).alias("_group"),
-    ).select("_group", key, F.col("piece").cast("long"), (F.col("_k") * caps[-1]).alias("start"), F.least(F.lit(caps[-1]), F.col("_all") - F.col("_k") * caps[-1]).alias("size"))
+    # Rows equal in key and size are one with a count until they are dealt: a group gets at most about ``group_rows`` pieces of them.
+    alike = sized.groupBy(key, "_all").agg(F.count("*").alias("_n"))
+    many = f"(_all - 1) div {caps[-1]} + 1"
+    parts = alike.withColumn("_part", F.explode(F.expr(f"sequence(0L, (_n * ({many}) - 1) div {group_rows})"))).repartition(key, "_all", "_part")
+    pieces = parts.select(key, "_all", "_part", F.explode(F.expr(f"sequence(_part * {group_rows}, least(_n * ({many}), (_part + 1) * {group_rows}) - 1)")).alias("_i")).withColumn("_k", F.expr(f"_i % ({many})"))
+    pieces = pieces.select(
+        F.pmod(F.xxhash64(F.lit(seed), key, "_all", "_part"), F.lit(groups)).alias("_group"), key, F.col("_k").alias("piece"), (F.col("_k") * caps[-1]).alias("start"), F.least(F.lit(caps[-1]), F.col("_all") - F.col("_k") * caps[-1]).alias("size"),
+    )
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values([key, "piece", "size"], kind="stable", ignore_index=True)

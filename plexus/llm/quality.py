@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,18 +33,22 @@ class _Shapes(dict):
 
 
 _SHAPES = _Shapes()
+_AGAIN = "="
 
 
 def grams(text: str) -> set:
-    """The n-grams of a whole text: pieces, pairs of shapes, and steps of how much repeats (pieces, lines, n-grams)."""
+    """The n-grams of a whole text: pieces, pairs of pieces, pairs of their shapes, and pairs of lines, new or seen before.
+
+    A piece that is the one before it has the shape of a repetition, so pairs of shapes tell how a text repeats itself.
+    """
     pieces = _PIECES(text)
-    n, lines = len(pieces), text.split("\n")
     found: set = set(pieces)
-    shapes = list(map(_SHAPES.__getitem__, pieces))
-    found.update(zip(shapes, shapes[1:], strict=False))
-    found.add(("again", 16 * sum(map(operator.eq, pieces, pieces[1:])) // (n + 1)))
-    found.add(("lines", 8 - 8 * len(set(lines)) // len(lines)))
-    found.add(("kinds", 16 * len(found) // (n + 1), n.bit_length()))
+    found.update(zip(pieces, pieces[1:], strict=False))
+    shapes = [_AGAIN if a == b else s for a, b, s in zip(pieces, [None, *pieces], map(_SHAPES.__getitem__, pieces), strict=False)]
+    found.update(("shapes", a, b) for a, b in set(zip(shapes, shapes[1:], strict=False)))
+    seen: set = set()
+    lines = [line in seen or seen.add(line) is not None for line in text.split("\n")]
+    found.update(("lines", a, b) for a, b in set(zip(lines, lines[1:], strict=False)))
     return found
 
 
@@ -67,7 +70,7 @@ class Classifier:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.slope * self.margin(text)))))
 
 
-def fit(sample: list[tuple[str, int]], max_grams: int = 1 << 17, least: int = 2, cost: float = 1.0, passes: int = 30, seed: int = 0) -> Classifier:
+def fit(sample: list[tuple[str, int]], max_grams: int = 1 << 16, least: int = 3, cost: float = 1.0, passes: int = 30, seed: int = 0) -> Classifier:
     """Dual coordinate descent over the sample; n-grams of fewer than ``least`` texts are left out.
 
     A sample without both labels gives the constant that fits it: 1, 0, or 0.5 of an empty one.
@@ -75,15 +78,20 @@ def fit(sample: list[tuple[str, int]], max_grams: int = 1 << 17, least: int = 2,
     sides = [sum(1 for _, y in sample if y == k) for k in (0, 1)]
     if not all(sides):
         return Classifier({}, np.zeros(0), np.zeros(0), float(np.sign(sides[1] - sides[0])) * 40, 1.0)
-    bags = [grams(t) for t, _ in sample]
+    # Most n-grams stand in one text only. Counts by hash leave these out before any are held; what is kept is counted exactly.
+    mask = (1 << 22) - 1
+    slots = np.zeros(mask + 1, np.uint16)
+    for t, _ in sample:
+        some = np.unique(np.fromiter((hash(g) & mask for g in grams(t)), np.int64))
+        slots[some] += slots[some] < least
     good, bad = Counter(), Counter()
-    for bag, (_, y) in zip(bags, sample, strict=True):
-        (good if y else bad).update(bag)
+    for t, y in sample:
+        (good if y else bad).update(g for g in grams(t) if slots[hash(g) & mask] >= least)
     kept = sorted((g for g in good.keys() | bad.keys() if good[g] + bad[g] >= least), key=lambda g: (-good[g] - bad[g], str(g)))[:max_grams]
     index = {g: i for i, g in enumerate(kept)}
     p, q = (np.array([c[g] + 1.0 for g in kept]) for c in (good, bad))
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    at = [np.array(sorted(index[g] for g in bag if g in index), np.int64) for bag in bags]
+    at = [np.array(sorted(i for g in grams(t) if (i := index.get(g)) is not None), np.int64) for t, _ in sample]
     value = [ratio[i] / max(1.0, math.sqrt(ratio[i] @ ratio[i])) for i in at]
     sign = [1.0 if y else -1.0 for _, y in sample]
     weight, bias, alpha = np.zeros(len(kept)), 0.0, np.zeros(len(sample))

@@ -143,7 +143,7 @@ def within(points: np.ndarray, residents: np.ndarray, visitors: np.ndarray, reac
                     break
         if parted:
             continue
-        step = max(1, (1 << 21) // len(own))
+        step = max(1, (1 << 19) // len(own))
         for at in range(0, len(ask), step):
             i, j = np.nonzero(_apart(points[ask[at : at + step], None], points[own][None, :]) <= reach)
             yield ask[at : at + step][i], own[j]

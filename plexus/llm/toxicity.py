@@ -140,15 +140,16 @@ def _groups(sample: list[tuple[str, int]], seed: int, count: int = 6, common: in
 
     K-means over which common words a text has, rare ones weighing more. A group of under ``least`` toxic texts joins the one most like it.
     """
-    sets = [set(_LETTERS(t.lower())) for t, _ in sample]
-    has = Counter(w for own in sets for w in own)
+    # Most words are rare, so common ones are told by some of the texts, and only those are held of each.
+    has = Counter(w for t, _ in sample[:1000] for w in set(_LETTERS(t.lower())))
     places = {w: i for i, w in enumerate(sorted(has, key=lambda w: (-has[w], w))[:common])}
     if len(sample) <= 10 * count or not places:
         return places, np.ones((1, len(places)))
-    weight = np.log((1 + len(sets)) / np.array([has[w] for w in places]))
-    x = np.zeros((len(sample), len(places)))
-    for i, own in enumerate(sets):
-        x[i, [k for w in own if (k := places.get(w)) is not None]] = 1
+    weight = np.log((1 + min(1000, len(sample))) / np.array([has[w] for w in places]))
+    has.clear()
+    x = np.zeros((len(sample), len(places)), np.float32)
+    for i, (t, _) in enumerate(sample):
+        x[i, [k for w in set(_LETTERS(t.lower())) if (k := places.get(w)) is not None]] = 1
     x *= weight
     x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
     hearts = max((_kmeans(x, count, np.random.default_rng([seed, k])) for k in range(tries)), key=lambda found: found[0])[1]
@@ -169,13 +170,20 @@ def _groups(sample: list[tuple[str, int]], seed: int, count: int = 6, common: in
     return places, hearts[np.argsort(-sizes, kind="stable")] * weight
 
 
-def _stems(text: str, most: int = 4) -> Counter:
-    """Beginnings of words, four characters at least, and whole words, each with its count, but ``most`` at most."""
+def _stems(words: Counter, known: set[str] | None = None, most: int = 4) -> Counter:
+    """Beginnings of words, four characters at least, and whole words between blanks, each with its count, but ``most`` at most.
+
+    With ``known``, only those whose first ones are in it, each a character longer than one that is.
+    """
     found: Counter = Counter()
-    for w, n in Counter(text.lower().split()).items():
+    for w, n in words.items():
+        if known is not None and w[:4] not in known:
+            continue
         for k in range(4, min(len(w), 12) + 1):
-            found[f" {w[:k]}"] += n
-        found[f" {w} "] += n
+            if known is not None and k > 4 and w[: k - 1] not in known:
+                break
+            found[w[:k]] += n
+        found[f"{w} "] += n
     return Counter({w: min(n, most) for w, n in found.items()})
 
 
@@ -183,20 +191,32 @@ def _segments(sample: list[tuple[str, int]], lift: float, sure: float, share: fl
     """Stems that stand in a ``share`` of the toxic texts and ``lift`` times as often as in as much ordinary text.
 
     The likelihood ratio (G) of both rates has to be at least ``sure``, too. Of stems that begin with one another the
-    one that tells most is taken.
+    one that tells most is taken. A beginning is counted only if the one before it stands in as many texts, so few are held.
     """
-    toxic, plain, texts, n = Counter(), Counter(), Counter(), [1, 1]
-    for t, y in sample:
-        n[y] += len(t.split())
-        if y:
-            own = _stems(t)
-            toxic.update(own), texts.update(own.keys())
-    asked = max(3, share * sum(y for _, y in sample))
-    toxic = Counter({w: c for w, c in toxic.items() if texts[w] >= asked})
-    heads = {w.strip()[:4] for w in toxic}  # spares ordinary texts most of their stems
+    toxic, plain, n = Counter(), Counter(), [1, 1]
+    bags = [Counter(t.lower().split()) for t, y in sample if y]
+    asked = max(3, share * len(bags))
+    known: set[str] = set()
+    for k in range(4, 13):
+        texts = Counter(s for bag in bags for s in {w[:k] for w in bag if len(w) >= k and (k == 4 or w[: k - 1] in known)})
+        often = {s for s, c in texts.items() if c >= asked}
+        known |= often
+        if not often:
+            break
+    texts = Counter(w for bag in bags for w in bag if w[:4] in known or len(w) < 4)
+    whole = {f"{w} " for w, c in texts.items() if c >= asked}
+    wanted = known | whole
+    for bag in bags:
+        n[1] += bag.total()
+        toxic.update({w: c for w, c in _stems(bag, known | {w.strip()[:4] for w in whole}).items() if w in wanted})
+    heads = {w.strip()[:4] for w in wanted}
     for t, y in sample:
         if not y:
-            plain.update({w: c for w, c in _stems(" ".join(w for w in t.lower().split() if w[:4] in heads)).items() if w in toxic})
+            bag = Counter(t.lower().split())
+            n[0] += bag.total()
+            plain.update({w: c for w, c in _stems(Counter({w: c for w, c in bag.items() if w[:4] in heads}), known | heads).items() if w in wanted})
+    toxic = Counter({f" {w}": c for w, c in toxic.items()})
+    plain = Counter({f" {w}": c for w, c in plain.items()})
     found: dict[str, float] = {}
     for w, k in toxic.items():
         z = plain[w]
@@ -227,7 +247,7 @@ def _dictionaries(sample: list[tuple[str, int]], known: list[str], base: int, li
     marks = [k for k in known if not any(m.startswith(k) or k.startswith(m) for m in marks)] + marks
     drop = [headed(m.strip()).encode("utf-8", "replace") for m in marks]
     toxic = b"".join(_padded(b" " + d + b" " * m.endswith(" ")) for d, m in zip(drop, marks, strict=True))
-    words = Counter(w for t, y in sample if not y for w in set(t.lower().split()))
+    words = Counter(w for t in [t for t, y in sample if not y][:500] for w in set(t.lower().split()))
     common = " ".join(headed(w) for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:20_000] if not any(f" {w} ".startswith(m) for m in marks)).encode("utf-8", "replace")
     picks = random.Random(seed)
     ordinary = [w for cut in (windows(t, 256) for t, y in sample if not y) for w in picks.sample(cut, min(len(cut), 8))]
@@ -263,11 +283,11 @@ def _rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         held.remove(low)
 
 
-def fit(sample: list[tuple[str, int]], threshold: float = 0.7, alarms: float = 0.005, size: int = 96, base: int = 16_384, level: int = 6, lift: float = 5.0, sure: float = 40.0, share: float = 0.15, seed: int = 0) -> Gauge:
-    """For each group of like vocabulary a pair of dictionaries from all its texts; the curve from savings under dictionaries of the other half.
+def fit(sample: list[tuple[str, int]], threshold: float = 0.7, alarms: float = 0.005, size: int = 96, base: int = 16_384, level: int = 6, lift: float = 5.0, sure: float = 40.0, share: float = 0.15, folds: int = 4, seed: int = 0) -> Gauge:
+    """For each group of like vocabulary a pair of dictionaries from all its texts; the curve from savings under dictionaries of the other ``folds``.
 
     So no text judges itself. The curve's constant is then set so that at most a share ``alarms`` of the group's ordinary texts
-    comes over ``threshold``, under the dictionaries of the other half as well as under those of all texts. A sample of one label only gives about that label for
+    comes over ``threshold``, under the dictionaries of the other folds as well as under those of all texts. A sample of one label only gives about that label for
     every text; an empty one gives 0.5.
     """
     order = list(sample)
@@ -275,29 +295,31 @@ def fit(sample: list[tuple[str, int]], threshold: float = 0.7, alarms: float = 0
     places, hearts = _groups(order, seed)
     gauge = Gauge(places, hearts, [], size)
     of = [_nearest(" ".join(t.lower().split()), places, hearts) for t, _ in order]
-    halves = [[s for s, k in zip(order[h::2], of[h::2], strict=True) if k == g] for g in range(len(hearts)) for h in (0, 1)]
-    known = [_segments(some, lift, sure, share) for some in (order[::2], order[1::2], order)]
+    known = [_segments([t for i, t in enumerate(order) if i % folds != h], lift, sure, share) for h in range(folds)] + [_segments(order, lift, sure, share)]
     for g in range(len(hearts)):
+        own = [(i % folds, *order[i]) for i in range(len(order)) if of[i] == g]
         found, y = [], [0.5]
-        for h in (0, 1):
-            pair = _Pair(*_dictionaries(halves[2 * g + 1 - h], known[1 - h], base, lift, sure, share, seed), level)
-            found += [pair.saved(windows(t, size)) for t, _ in halves[2 * g + h]]
-            y += [float(k) for _, k in halves[2 * g + h]]
-        pair = _Pair(*_dictionaries(halves[2 * g] + halves[2 * g + 1], known[2], base, lift, sure, share, seed), level)
+        for h in range(folds):
+            pair = _Pair(*_dictionaries([(t, k) for f, t, k in own if f != h], known[h], base, lift, sure, share, seed), level)
+            found += [pair.saved(windows(t, size)) for f, t, _ in own if f == h]
+            y += [float(k) for f, _, k in own if f == h]
+        whole = [(t, k) for _, t, k in own]
+        pair = _Pair(*_dictionaries(whole, known[-1], base, lift, sure, share, seed), level)
         plain = np.concatenate([np.zeros(1), *(v for v, k in zip(found, y[1:], strict=True) if not k)])
         pair.mean, pair.spread = float(plain.mean()), float(plain.var())
         x = [[1.0] + [0.0] * len(RUNS)] + [pair.features(v) for v in found]
         pair.curve = _rising(np.array(x), np.array(y))
         if (pair.curve[1:] > 0).any():
-            over = np.array(x[1:]) @ pair.curve - pair.curve[0], [pair.curve[1:] @ pair.features(pair.saved(windows(t, size)))[1:] for t, k in halves[2 * g] + halves[2 * g + 1] if not k]
+            over = np.array(x[1:]) @ pair.curve - pair.curve[0], [pair.curve[1:] @ pair.features(pair.saved(windows(t, size)))[1:] for t, k in whole if not k]
             plain = [np.sort(v) for v in (over[0][np.array(y[1:]) == 0], np.array(over[1])) if len(v)]
             worst = max(v[-1 - int(alarms * len(v))] for v in plain) if plain else 0.0
-            pair.curve[0] = math.log(threshold / (1 - threshold)) - worst - 1e-6
+            # Few texts may not show so small a share: where the curve itself is more careful, it stands.
+            pair.curve[0] = min(pair.curve[0], math.log(threshold / (1 - threshold)) - worst - 1e-6)
         gauge.pairs.append(pair)
     return gauge
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_toxic: int = 1500, max_ordinary: int = 4000, keep: list[str] | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_toxic: int = 1200, max_ordinary: int = 3000, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (doc_id by default) with held_out, score in 0..1 and predicted (1: toxic) of every row, from its whole text alone.
 
     Learns on the driver from at most ``max_toxic`` and ``max_ordinary`` labelled rows that are not held out (see
