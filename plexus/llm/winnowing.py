@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-#: Low bits of a packed entry: a position, counted downwards. The hash has the rest.
-PLACE_BITS = 30
 #: Buckets of the key's order; their first rows are broadcast, a few bytes each.
 MOST_BUCKETS = 1 << 16
 
@@ -20,39 +18,76 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def _rotated(x: Column, by: int) -> Column:
+    return x if by % 64 == 0 else F.shiftleft(x, by % 64).bitwiseOR(F.shiftrightunsigned(x, 64 - by % 64))
+
+
+def _beside(a: Column, b: Column, shift: int, f: Callable[[Column, Column], Column]) -> Column:
+    """f of a[i] and b[i + shift], as far as both reach; ``a`` is as long as ``b`` or shorter by less than ``shift``."""
+    n = F.least(F.size(a), F.greatest(F.size(b) - shift, F.lit(0)))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1 + shift), n), f)
+
+
+def rolling(words: Column, gram: int) -> Column:
+    """Hashes of ``gram`` words in a row, rolled: a cyclic polynomial of the words' own hashes.
+
+    A gram's hash is that of its first words, turned, exclusive-or the next word's. Grams of twice a length come from two
+    grams of it in the same way, so each gram costs the logarithm of its length and none is hashed anew.
+    """
+    def grow(grams: Column, held: int, rest: str) -> Column:
+        if not rest:
+            return grams
+        double = _beside(grams, grams, held, lambda x, y: _rotated(x, held).bitwiseXOR(y))
+        if rest[0] == "0":
+            return _let(double, lambda g: grow(g, 2 * held, rest[1:]))
+        more = lambda g: _beside(g, words, 2 * held, lambda x, y: _rotated(x, 1).bitwiseXOR(y))
+        return _let(double, lambda g: _let(more(g), lambda h: grow(h, 2 * held + 1, rest[1:])))
+
+    return grow(words, 1, bin(gram)[3:])
+
+
+def _least(entries: Column, window: int) -> Column:
+    """The least of each ``window`` entries in a row, by minima of windows of half the length."""
+    def grow(least: Column, held: int) -> Column:
+        shift = min(held, window - held)
+        return least if not shift else _let(_beside(least, least, shift, lambda x, y: F.least(x, y)), lambda g: grow(g, held + shift))
+
+    return grow(entries, 1)
+
+
 def winnow(text: Column, gram: int = 5, window: int = 8, longest: int = 16) -> Column:
-    """Packed fingerprint of a text: an array of longs, hash in the high bits, position in the low ones (see hashes, positions).
+    """Fingerprint of a text: an array of (hash, place), a gram's 64 bits and where it starts, counted downwards from 0.
 
-    Grams are ``gram`` pieces in a row; a piece is a word, or at most ``longest`` characters of one, so that text without
-    spaces has pieces too. Of each ``window`` successive gram hashes the smallest is kept, the rightmost of equals,
-    once. Two texts that share window + gram - 1 pieces in a row share a hash. Fewer pieces than a gram are one gram,
-    fewer grams than a window one window; no pieces, no fingerprint.
+    Grams are ``gram`` pieces in a row; a piece is a word or, of a run of over ``longest`` characters without a space, each
+    character: so text without spaces has pieces too, and the same ones wherever it begins. Of each ``window``
+    successive gram hashes the smallest is kept, the rightmost of equals, once. Two texts that share
+    window + gram - 1 pieces in a row share a hash. Fewer pieces than a gram are one gram, fewer grams than a
+    window one window; no pieces, no fingerprint.
     """
-    low = (1 << PLACE_BITS) - 1
-    pieces = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]{1,%d}" % longest), F.lit(0))
-    sizes = lambda n, m: F.sequence(F.lit(0), F.greatest(n - m, F.lit(0)))
+    char = r"[^\x20\x09-\x0D]"
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?<!{char}){char}{{1,{longest}}}(?!{char})|{char}"), F.lit(0))
+    empty = F.array().cast("array<struct<hash:bigint,place:int>>")
+    placed = lambda grams: F.transform(grams, lambda h, i: F.struct(h.alias("hash"), (-i).alias("place")))
 
-    def packed(words: Column) -> Column:
-        return F.transform(
-            sizes(F.size(words), gram),
-            lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(gram))).bitwiseAND(F.lit(~low)).bitwiseOR((F.lit(low) - i).cast("long")),
-        )
+    def chosen(entries: Column) -> Column:
+        # Kept places never go back, so equals stand side by side.
+        once = lambda least: F.filter(least, lambda x, i: (i == 0) | (x["place"] != F.get(least, F.greatest(i - 1, F.lit(0)))["place"]))
+        return F.when(F.size(entries) <= window, F.array(F.array_min(entries))).otherwise(_let(_least(entries, window), once))
 
-    def least(grams: Column) -> Column:
-        return F.array_distinct(F.transform(sizes(F.size(grams), window), lambda i: F.array_min(F.slice(grams, i + 1, F.lit(window)))))
+    def grams(words: Column) -> Column:
+        return F.when(F.size(words) <= gram, F.array(F.xxhash64(words))).otherwise(rolling(words, gram))
 
-    empty = F.array().cast("array<long>")
-    return _let(F.transform(pieces, lambda p: F.xxhash64(p)), lambda words: F.when(F.size(words) == 0, empty).otherwise(_let(packed(words), least)))
+    some = lambda words: _let(grams(words), lambda g: _let(placed(g), chosen))
+    return _let(F.transform(pieces, lambda p: F.xxhash64(p)), lambda words: F.when(F.size(words) == 0, empty).otherwise(some(words)))
 
 
 def hashes(fingerprint: Column) -> Column:
-    return F.array_distinct(F.transform(fingerprint, lambda x: F.shiftright(x, PLACE_BITS)))
+    return F.array_distinct(F.transform(fingerprint, lambda x: x["hash"]))
 
 
 def positions(fingerprint: Column) -> Column:
     """Where each kept gram starts, in pieces."""
-    low = (1 << PLACE_BITS) - 1
-    return F.transform(fingerprint, lambda x: F.lit(low) - x.bitwiseAND(F.lit(low)))
+    return F.transform(fingerprint, lambda x: -x["place"])
 
 
 def digest(fingerprint: Column) -> Column:
@@ -80,8 +115,10 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: in
 
     Rows are dealt once, to buckets of the key's order whose limits come from its approximate quantiles; these decide
     balance, not results. The first rows of a bucket go to the one before as well. ``derive`` adds columns in between.
-    Rows of one key stand by text; null keys stand last.
+    Rows of one key stand by text; null keys stand last. Keys that aren't whole numbers are refused.
     """
+    if docs.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{key} must be a whole number")
     place = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))
     base = docs.select(F.col(key), place.alias("_place"), text_or_empty(text).alias("_text"))
     n = docs.count()
