@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-#: Fine cuts of the key's range from which shards are put together; their sums are all that the driver gets.
+#: Cuts of a range of keys at a time; their sums, of at most so many heavy ranges, are all that the driver gets.
 CUTS = 4096
+MOST_SHARDS = 1 << 15
 MANIFEST = "manifest long, shard long, file string, records long, bytes long, payload_bytes long, sha256 string, first long, last long"
 
 
@@ -87,13 +88,46 @@ class _Roll:
         return {"manifest": 1, "shard": self.shard, "file": self.name, "records": self.records, "bytes": self.bytes, "payload_bytes": self.payload, "sha256": self.sum.hexdigest(), "first": first, "last": last}
 
 
+def _limits(rows: DataFrame, shard_bytes: int, least_shards: int) -> tuple[list[int], list[int], int]:
+    """(first keys of all ranges but the first, shards of each range, shards of null keys).
+
+    ``rows``: id, weight. Ranges are put together from cuts, and a cut that weighs more than a shard is cut again, all such
+    cuts in one pass, until each is light or a single key: that one is a range of its own with as many shards as its weight
+    asks for. There are MOST_SHARDS at most, or few more; a larger table has larger ones.
+    """
+    low, high, total, null = rows.agg(F.min("id"), F.max("id"), F.sum("weight"), F.sum(F.when(F.col("id").isNull(), F.col("weight")))).first()
+    share = max(1, (total or 0) // MOST_SHARDS, min(shard_bytes, (total or 0) // least_shards))
+    longs = lambda some: F.array(*[F.lit(x) for x in some]).cast("array<bigint>")
+    cuts: list[tuple[int, int]] = []  # first key and weight
+    heavy = [] if low is None else [(low, high - low + 1)]
+    while heavy:
+        # All heavy cuts of a pass are as long but for the first pass, where there is one.
+        width = max(1, -(-heavy[0][1] // CUTS))
+        place = F.size(F.filter(longs([f for f, _ in heavy]), lambda f: f <= F.col("id")))
+        sized = rows.where("id is not null").select("id", "weight", F.get(longs([None, *[f for f, _ in heavy]]), place).alias("first"))
+        cut = F.floor((F.col("id") - F.col("first")) / width)
+        found = sized.where(F.col("id") - F.col("first") < heavy[0][1]).groupBy("first", cut.alias("cut")).agg(F.sum("weight").alias("weight")).collect()
+        made = [(r["first"] + r["cut"] * width, r["weight"]) for r in found]
+        cuts += [(f, w) for f, w in made if w <= share or width == 1]
+        heavy = sorted((f, width) for f, w in made if w > share and width > 1)
+    limits, counts, used = [], [1], None
+    for first, weight in sorted(cuts):
+        if used is not None and used + weight > share:
+            limits.append(first), counts.append(1)
+            used = None
+        used = (used or 0) + weight
+        counts[-1] = max(1, -(-used // share))
+    return limits, counts, max(1, -(-(null or 0) // share))
+
+
 def write_archives(
     pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least_payload: int = 0, file_bytes: int = 64 << 20, shard_bytes: int = 256 << 20, least_shards: int = 64, level: int = 1, date: str = "2024-01-01T00:00:00Z"
 ) -> DataFrame:
     """Write a record for each page to ``folder`` and return the manifest: a row a file, kept as Parquet in folder/manifest.
 
-    Records are dealt by ranges of the key, in its order; the limits come from exact sums of bytes over even cuts of
-    its range, so the same table makes the same files, byte for byte, on any cluster. A file is closed when its
+    Records are dealt by ranges of the key, in its order, a range a task; the limits come from exact sums of bytes over even cuts of
+    its range, and over cuts of each cut that is too heavy, however keys crowd: so the same table makes the same
+    files, byte for byte, on any cluster. A single key that is too heavy, and null, is dealt by payload. A file is closed when its
     compressed size reaches ``file_bytes``. Of records with equal payloads of at least ``least_payload`` bytes the one with
     the smallest key is the response; the others are revisits of it and have no payload.
 
@@ -106,18 +140,14 @@ def write_archives(
     last = F.lit((1 << 63) - 1)
     rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), text_or_empty(payload).alias("body"))
     rows = rows.withColumn("size", F.octet_length("body").cast("long")).withColumn("sum", F.sha1(F.col("body").cast("binary")))
-    low, high = rows.agg(F.min("id"), F.max("id")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // CUTS))
-    cut = F.when(F.col("id").isNull(), F.lit(CUTS)).otherwise(F.floor((F.col("id") - low) / F.lit(width))).cast("int")
-    weight = dict(rows.groupBy(cut.alias("cut")).agg(F.sum(F.col("size") + 500)).collect())
-    share, shard, used, limits = min(shard_bytes, max(1, sum(weight.values()) // least_shards)), 0, 0, []
-    for c in range(CUTS + 1):
-        if used >= share:
-            shard, used = shard + 1, 0
-            limits.append(c)
-        used += weight.get(c, 0)
-    shard_of = F.size(F.filter(F.array(*[F.lit(c) for c in limits]).cast("array<int>"), lambda c: c <= cut)).cast("long")
+    limits, counts, null_shards = _limits(rows.select("id", (F.col("size") + 500).alias("weight")), shard_bytes, least_shards)
+    starts = [sum(counts[:i]) for i in range(len(counts) + 1)]
+    longs = lambda some: F.array(*[F.lit(x) for x in some]).cast("array<bigint>")
+    at = F.size(F.filter(longs(limits), lambda c: c <= F.col("id")))
+    # A key, or null, that alone weighs more than a shard has several of them, dealt by payload: equal payloads stay together.
+    by_sum = F.conv(F.substring("sum", 1, 8), 16, 10).cast("long")
+    shard_of = F.when(F.col("id").isNull(), starts[-1] + by_sum % null_shards).otherwise(F.get(longs(starts), at) + by_sum % F.get(longs(counts), at)).cast("long")
+    shards = starts[-1] + null_shards
 
     # What equal payloads share, found on narrow rows: the smallest key of each digest, joined back by digest.
     narrow = rows.select("id", "sum", "size").where(F.col("size") >= least_payload)
@@ -126,7 +156,7 @@ def write_archives(
     notes = shared.select(shard_of.alias("shard"), "id", F.lit(0).alias("part"), "sum", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("body"), F.lit(0).cast("long").alias("size"), "first")
     wide = rows.select(shard_of.alias("shard"), "id", F.lit(1).alias("part"), "sum", "url", "body", "size", F.lit(None).cast("long").alias("first"))
     # A note stands right before the pages that it's about: so pages need no join, and are shuffled once.
-    sorted_ = notes.unionByName(wide).repartition("shard").sortWithinPartitions("shard", F.coalesce("id", last), "id", "sum", "part", "url")
+    sorted_ = notes.unionByName(wide).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", F.coalesce("id", last), "id", "sum", "part", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("manifest", pa.int64()), ("shard", pa.int64()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("payload_bytes", pa.int64()), ("sha256", pa.string()), ("first", pa.int64()), ("last", pa.int64())])
