@@ -91,10 +91,10 @@ def near_vectors(
     rows = vectors.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
     fit = F.expr("_v is not null and size(_v) > 0 and forall(_v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(_v, x -> x <> 0)")
     rows = rows.withColumn("_v", F.when(fit, F.expr("transform(_v, x -> x + 0.0D)")))
-    # The class of a vector has an id of its own: the hash would do but for collisions, so equal vectors are grouped whole.
-    classes = staged(
-        rows.where("_v is not null").groupBy("_v").agg(F.min("_id").alias("first"), F.count("*").alias("n")).withColumn("rep", F.monotonically_increasing_id()), "vectors"
-    )
+    # Equal vectors are found by 128 bits of hashes, so that no vector is a key; a class that holds two vectors is an error.
+    rows = rows.withColumn("_h", F.xxhash64("_v")).withColumn("_g", F.xxhash64(F.lit(seed), "_v"))
+    alike = F.when(F.min("_v") == F.max("_v"), F.min("_v")).otherwise(F.raise_error(F.lit("different vectors have the same hashes")))
+    classes = staged(rows.where("_v is not null").groupBy("_h", "_g").agg(alike.alias("_v"), F.min("_id").alias("first"), F.count("*").alias("n")).withColumn("rep", F.monotonically_increasing_id()), "vectors")
     budget, element = 2 - 2 * least, vectors.schema[vector].dataType.elementType.simpleString()
     element = element if element == "float" else "double"
 
@@ -170,14 +170,14 @@ def near_vectors(
     counts = found.groupBy("a").agg(F.sum("n").alias("others"))
     linked = components(found.where("a <> b"))
     named = (
-        classes.select("_v", "rep", "n", "first")
+        classes.select("_h", "_g", "rep", "n", "first")
         .join(counts, classes.rep == counts.a, "left")
         .join(linked, F.col("rep") == linked.node, "left")
-        .select("_v", "n", "first", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("component", "rep").alias("component"))
+        .select("_h", "_g", "n", "first", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("component", "rep").alias("component"))
     )
     lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_vector = named.join(lowest, "component").select("_v", (F.col("others") + F.col("n") - 1).alias("n_links"), "component_id")
+    by_vector = named.join(lowest, "component").select("_h", "_g", (F.col("others") + F.col("n") - 1).alias("n_links"), "component_id")
     # Vectors that link with nothing stand for themselves; joined by key they would all meet in one task.
-    good = rows.where("_v is not null").join(by_vector, "_v").select("_id", "n_links", "component_id")
+    good = rows.where("_v is not null").select("_id", "_h", "_g").join(by_vector, ["_h", "_g"]).select("_id", "n_links", "component_id")
     lone = rows.where("_v is null").select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"))
     return good.unionByName(lone).select(F.col("_id").alias(key), "n_links", "component_id", F.coalesce(F.col("_id") == F.col("component_id"), F.lit(False)).alias("kept"))

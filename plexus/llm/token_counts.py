@@ -22,6 +22,10 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in seen else chr(next(spare)) for b in range(256)]
 
 
+# Capitals that are newer than Python's Unicode tables, and what the library has for them in lower case.
+NEWER = {0xA7CB: 0x0264, 0xA7DC: 0x019B}
+
+
 class _Cached(dict):
     """Results of a function, kept as they are asked for; emptied when it holds ``size``."""
 
@@ -39,7 +43,7 @@ class _Cached(dict):
 class TokenCounter:
     """Counts by a word-level BPE file; remembers at most ``max_words`` words and as many blank-separated chunks.
 
-    Equals the library's counts except for letters that its older Unicode tables don't know as such.
+    Equals the library's counts, whatever the letters (held against it for each code point).
     """
 
     def __init__(self, path: str, max_words: int = 600_000):
@@ -96,7 +100,7 @@ class TokenCounter:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             # Letter by letter, as the library does: no final form of sigma.
-            text = text.replace("Σ", "σ")
+            text = text.replace("Σ", "σ").translate(NEWER)
         text = text.lower()
         # No word spans white space, so chunks between it are counted for themselves.
         return self._words(text) if self.controls(text) else sum(map(self.by_chunk.__getitem__, text.split()))
