@@ -102,6 +102,92 @@ def shorten(value: Column, limit: int) -> Column:
     return F.when(F.octet_length(value) <= limit, value).otherwise(F.concat(F.substring(value, F.lit(1), F.array_max(ends)), F.lit("…")))
 
 
+def escaped(value: Column) -> Column:
+    """Control characters as visible escapes: short ones where there are, else the code point in braces."""
+    out = value
+    for char, text in (("\t", "t"), ("\n", "n"), ("\r", "r")):
+        out = F.replace(out, F.lit(char), F.lit("\\" + text))
+    code = lambda ch: F.coalesce(F.nullif(F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))), "^0+", ""), F.lit("")), F.lit("0"))
+    control = r"[\x00-\x1f\x7f-\x9f]"
+    marked = F.transform(F.split(out, ""), lambda ch: F.when(ch.rlike(control), F.concat(F.lit("\\u{"), code(ch), F.lit("}"))).otherwise(ch))
+    return F.when(out.rlike(control), F.array_join(marked, "")).otherwise(out)
+
+
+def dot_escaped(value: Column) -> Column:
+    """A quoted string of the DOT language: backslash, quote, line end and tab escaped, other controls replaced."""
+    out = value
+    for char, text in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(char), F.lit(text))
+    return F.regexp_replace(out, r"[\x00-\x1f\x7f-\x9f]", "\ufffd")
+
+
+def normal_path(path: Column) -> Column:
+    """A path without empty and . parts, each .. taking back a part; null where that leads out. Absolute paths stay so."""
+    walked = F.aggregate(
+        F.split(path, "/"), F.array().cast("array<string>"),
+        lambda held, part: F.when(part.isin("", "."), held).when(part != "..", F.array_append(held, part)).when(F.coalesce(F.size(held) > 0, F.lit(False)), F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))),
+    )
+    return F.when(walked.isNotNull(), F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(walked, "/")))
+
+
+def repository_relative(name: Column, root: Column) -> Column:
+    """The path of a coverage report's file below the root of the work tree; null if it is outside or no safe path."""
+    whole = normal_path(F.when(name.startswith("/"), name).otherwise(F.concat(root, F.lit("/"), name)))
+    base = F.concat(normal_path(root), F.lit("/"))
+    inside = F.when(whole.startswith(base), F.substring(whole, F.char_length(base) + 1, F.char_length(whole)))
+    return F.when(safe_path(inside), inside)
+
+
+def joined_names(parent: Column, name: Column, limit: int = 1024) -> Column:
+    """parent::name, or the one that isn't empty; null over ``limit`` bytes."""
+    out = F.concat_ws("::", F.nullif(parent, F.lit("")), F.nullif(name, F.lit("")))
+    return F.when(F.octet_length(out) <= limit, out)
+
+
+def without_generics(name: Column) -> Column:
+    """A name without what balanced angle brackets hold; an arrow's bracket is none. Null if they don't balance."""
+    chars = F.split(F.replace(name, F.lit("->"), F.lit("\x01")), "")
+    walked = F.aggregate(
+        chars, F.struct(F.lit("").alias("text"), F.lit(0).alias("depth")),
+        lambda a, ch: F.struct(
+            F.when((a["depth"] == 0) & ~ch.isin("<", ">"), F.concat(a["text"], ch)).otherwise(a["text"]).alias("text"),
+            F.when(a["depth"] < 0, a["depth"]).when(ch == "<", a["depth"] + 1).when(ch == ">", a["depth"] - 1).otherwise(a["depth"]).alias("depth"),
+        ),
+    )
+    return F.when(walked["depth"] == 0, F.replace(walked["text"], F.lit("\x01"), F.lit("->")))
+
+
+def terraform_key(folder: Column, address: Column) -> Column:
+    """A lookup key that holds a folder, after its length in bytes, and an address in it."""
+    return F.concat(F.lit("terraform:"), F.octet_length(folder).cast("string"), F.lit(":"), folder, F.lit(":"), address)
+
+
+def terraform_address(lookup: Column) -> Column:
+    """The address of a terraform_key; null of any other text. Folders may hold colons; their length tells."""
+    size = F.regexp_extract(lookup, r"^terraform:(\d{1,6}):", 1)
+    body = F.encode(F.regexp_replace(lookup, r"^terraform:\d{1,6}:", ""), "utf-8")
+    n = F.nullif(size, F.lit("")).cast("int")
+    ok = (F.octet_length(body) > n) & (F.decode(F.substring(body, n + 1, F.lit(1)), "utf-8") == ":")
+    return F.when(ok, F.decode(F.substring(body, n + 2, F.octet_length(body)), "utf-8"))
+
+
+def override_file(path: Column) -> Column:
+    """Whether a Terraform file overrides others by its name."""
+    return F.regexp_extract(path, r"([^/]*)$", 1).rlike(r"^(.*_)?override\.tf(\.json)?$")
+
+
+def inline_code(line: Column) -> Column:
+    """What stands between runs of back-ticks of one length, from the left; an open run ends the search."""
+    found = F.regexp_extract_all(line, F.lit(r"\G[^`]*+(`++)(.*?)\1"), F.lit(2))
+    return F.when(line.contains("`"), found).otherwise(F.array().cast("array<string>"))
+
+
+def reference_definition(line: Column) -> Column:
+    """label, target of a Markdown reference definition; null if the line is none."""
+    part = lambda i: F.regexp_extract(line, r"^ *\[([^\]]+(?:\](?!: )[^\]]*)*)\]: \s*<?([^\s>]*)", i)
+    return F.when(part(1) != "", F.struct(part(1).alias("label"), part(2).alias("target")))
+
+
 def symbol_name(symbol: Column) -> Column:
     """The name in a symbol's last descriptor (type#, term., method()., macro!), unquoted; null if local or nameless."""
     end = r"(?:\([^(]*\)\.|(?<!\))\.|[#!])\z"

@@ -75,3 +75,13 @@ def merge_changes(changes: DataFrame) -> DataFrame:
     current = changes.where("status <> 'D'").select("path").distinct().withColumn("_now", F.lit(True))
     kept = changes.join(current, "path", "left").where("status <> 'D' or _now is null")
     return kept.groupBy("path").agg(F.max("whole_file").alias("whole_file"), F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+
+
+def duplicates(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """keys, n of keys under which rows differ in what they have to agree in: an invariant that holds gives no rows."""
+    return rows.groupBy(*keys).agg(F.count_distinct(F.struct(*values)).alias("n")).where("n > 1")
+
+
+def orphans(rows: DataFrame, of: DataFrame, key: str, to: str) -> DataFrame:
+    """Rows whose ``key`` isn't null and isn't among the ``to`` of the others: a reference that leads nowhere."""
+    return rows.where(F.col(key).isNotNull()).join(of.select(F.col(to).alias(key)).distinct(), key, "left_anti")

@@ -21,7 +21,11 @@ def overlap(left: DataFrame, right: DataFrame, on: str, left_span=("start", "end
 
 
 def merged(spans: DataFrame, by: str) -> DataFrame:
-    """by, start, end: spans of one ``by`` joined where they overlap or touch (islands over a running maximum)."""
+    """by, start, end: spans of one ``by`` joined where they overlap or touch (islands over a running maximum).
+
+    Spans of one start are one before they meet, so a file's window has a row a start at most, however often it was touched.
+    """
+    spans = spans.groupBy(by, "start").agg(F.max("end").alias("end"))
     line = Window.partitionBy(by).orderBy("start", "end")
     top = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("_new", F.when(top.isNull() | (F.col("start") > top + 1), 1).otherwise(0))
@@ -42,6 +46,25 @@ def residual(changes: DataFrame, coverage: DataFrame, by: str) -> DataFrame:
     return rounded.where("start <= end")
 
 
+def touched(changes: DataFrame, symbols: DataFrame, by: str) -> DataFrame:
+    """Symbols (line_start, line_end) that a changed span (start, end) overlaps. Spans are merged first, so no pairs pile up."""
+    return overlap(merged(changes, by), symbols, by).select(*symbols.columns)
+
+
+def in_scope(notes: DataFrame, changes: DataFrame, symbols: DataFrame, by: str) -> DataFrame:
+    """Notes (line_start, line_end) within a changed span or a symbol that one touches."""
+    hit = touched(changes, symbols, by).select(by, F.col("line_start").alias("start"), F.col("line_end").alias("end"))
+    return touched(hit.unionByName(changes.select(by, "start", "end")), notes, by)
+
+
+def unmapped(regions: DataFrame, cover: DataFrame, files: DataFrame, by: str, key: list[str]) -> DataFrame:
+    """key, reason of the regions (line_start, line_end) that no covering span overlaps: their file is unknown, or only the region."""
+    hit = touched(cover, regions, by).select(*key).distinct()
+    known = files.select(by).distinct().withColumn("_known", F.lit(True))
+    rest = regions.join(hit, key, "left_anti").join(known, by, "left")
+    return rest.select(*key, F.when(F.col("_known").isNull(), "unmapped-file").otherwise("unmapped-region").alias("reason"))
+
+
 def provenance_fixpoint(links: DataFrame, scope: DataFrame) -> DataFrame:
     """id of everything in scope once any link with one end in scope has brought in its other ends.
 

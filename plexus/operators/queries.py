@@ -34,11 +34,11 @@ c = F.col
 
 
 def _changed(g: Graph) -> DataFrame:
-    """Changed nodes: parts whose key divides by 97."""
-    return g.nodes.where("id div 1000000000 = 5 and id % 97 = 0").select("id")
+    """The nodes that are asked about: parts whose key divides by 50, against all nodes."""
+    return g.nodes.where("id div 100000000000000000 = 5 and id % 50 = 0").select("id")
 
 
-_CHANGED = "changed AS (SELECT id FROM nodes WHERE id // 1000000000 = 5 AND id % 97 = 0)"
+_CHANGED = "changed AS (SELECT id FROM nodes WHERE id // 100000000000000000 = 5 AND id % 50 = 0)"
 
 
 # -- resolution ---------------------------------------------------------------------------------------------------
@@ -77,12 +77,12 @@ def method_reparent(g):
 
 @query(
     """, open AS (SELECT source_id, line, count(*) AS n, min(ref_id) AS ref_id, min(kind) AS kind, min(alias_key) AS alias, min(regexp_extract(keys[-1], '([^:]*)$', 1)) AS symbol FROM resolved WHERE state <> 'resolved' GROUP BY ALL),
-    defs AS (SELECT DISTINCT 6000000000 + l_orderkey AS source_id, l_linenumber::BIGINT AS line, l_partkey::VARCHAR AS symbol, 5000000000 + l_partkey AS target_id FROM lineitem)
+    defs AS (SELECT DISTINCT 600000000000000000 + l_orderkey AS source_id, l_linenumber::BIGINT AS line, l_partkey::VARCHAR AS symbol, 500000000000000000 + l_partkey AS target_id FROM lineitem)
     SELECT ref_id, target_id FROM open JOIN defs USING (source_id, line, symbol) WHERE n = 1 AND kind = 'CALLS' AND alias IS NULL"""
 )
 def index_upgrade(g):
     item = g.table("lineitem")
-    defs = item.select((c("l_orderkey") + 6_000_000_000).alias("source_id"), c("l_linenumber").cast("long").alias("line"), c("l_partkey").cast("string").alias("symbol"), (c("l_partkey") + 5_000_000_000).alias("target_id"))
+    defs = item.select((c("l_orderkey") + 600_000_000_000_000_000).alias("source_id"), c("l_linenumber").cast("long").alias("line"), c("l_partkey").cast("string").alias("symbol"), (c("l_partkey") + 500_000_000_000_000_000).alias("target_id"))
     return resolve.upgrade_by_index(g.resolved, defs)
 
 
@@ -183,12 +183,12 @@ def impact_depth3(g):
 
 
 def _pairs(g):
-    return g.table("customer").where("c_custkey % 50 = 1").select((c("c_custkey") + 4_000_000_000).alias("start"), (c("c_nationkey") + 2_000_000_000).alias("goal"))
+    return g.table("customer").where("c_custkey % 50 = 0").select((c("c_custkey") + 400_000_000_000_000_000).alias("start"), (c("c_nationkey") + 200_000_000_000_000_000).alias("goal"))
 
 
 def _path_sql(hops: int, both: bool) -> str:
     steps = "SELECT src AS node, dst AS next, 0 AS reverse, relation FROM code" + (" UNION ALL SELECT dst, src, 1, relation FROM code" if both else "")
-    out = _OVERRIDES + _CODE + f""", steps AS MATERIALIZED ({steps}), s0 AS (SELECT 4000000000 + c_custkey AS start, 2000000000 + c_nationkey AS goal, 0 AS hop, 4000000000 + c_custkey AS node, NULL::BIGINT AS parent, NULL::INT AS reverse, NULL::INT AS relation FROM customer WHERE c_custkey % 50 = 1)"""
+    out = _OVERRIDES + _CODE + f""", steps AS MATERIALIZED ({steps}), s0 AS (SELECT 400000000000000000 + c_custkey AS start, 200000000000000000 + c_nationkey AS goal, 0 AS hop, 400000000000000000 + c_custkey AS node, NULL::BIGINT AS parent, NULL::INT AS reverse, NULL::INT AS relation FROM customer WHERE c_custkey % 50 = 0)"""
     for k in range(1, hops + 1):
         out += f""", s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL SELECT start, goal, {k}, node, hit.parent, hit.reverse, hit.relation FROM (
             SELECT s.start, s.goal, t.next AS node, min({{'parent': s.node, 'reverse': t.reverse, 'relation': t.relation}}) AS hit FROM s{k - 1} s JOIN steps t ON t.node = s.node
@@ -199,14 +199,14 @@ def _path_sql(hops: int, both: bool) -> str:
     return out + " " + " UNION ALL ".join(f"SELECT * FROM w{k}" for k in range(hops + 1))
 
 
-@query(_path_sql(3, False))
+@query(_path_sql(6, False))
 def path_forward(g):
-    return traverse.paths(_code(g), _pairs(g), 3)
+    return traverse.paths(_code(g), _pairs(g))
 
 
-@query(_path_sql(2, True))
+@query(_path_sql(6, True))
 def path_any(g):
-    return traverse.paths(_code(g), _pairs(g), 2, any_direction=True)
+    return traverse.paths(_code(g), _pairs(g), any_direction=True)
 
 
 @query(_OVERRIDES + """ SELECT node, other, min(dispatch)::INT AS dispatch FROM (SELECT source_id AS node, target_id AS other, 0 AS dispatch FROM edges WHERE kind = 'CALLS'
@@ -224,65 +224,96 @@ def affected_entries(g):
     return risk.affected_entries(g.edges, g.nodes, _changed(g))
 
 
-_FLOWS = _ENTRIES + """, walk(entry, node, depth) AS (SELECT DISTINCT entry, entry, 0 FROM entries UNION SELECT entry, target_id, depth + 1 FROM walk JOIN edges ON kind = 'CALLS' AND source_id = node WHERE depth < 15),
+_SECURE = "|".join(S.SECURITY_WORDS)
+_FLOWS = _ENTRIES + f""", walk(entry, node, depth) AS (SELECT DISTINCT entry, entry, 0 FROM entries UNION SELECT entry, target_id, depth + 1 FROM walk JOIN edges ON kind = 'CALLS' AND source_id = node WHERE depth < 15),
     member AS (SELECT entry, node, min(depth)::BIGINT AS depth FROM walk GROUP BY ALL),
     ext AS (SELECT source_id AS node, count(*) AS n FROM resolved WHERE kind = 'CALLS' AND target_id IS NULL GROUP BY ALL), tst AS (SELECT DISTINCT target_id AS node FROM edges WHERE kind = 'TEST_CALLS'),
-    flow AS (SELECT entry, count(*)::BIGINT AS nodes, count(DISTINCT file_id)::BIGINT AS files, coalesce(sum(ext.n), 0)::BIGINT AS external, count(*) FILTER (WHERE regexp_matches(lower(name), 'auth|login|password|token|session|crypt|secret|credential|permission|sql|query|execute|connect|socket|request|http|sanitize|validate|encrypt|decrypt|hash|sign|verify|admin|privilege'))::BIGINT AS security,
+    flow AS (SELECT entry, count(*)::BIGINT AS nodes, count(DISTINCT file_id)::BIGINT AS files, coalesce(sum(ext.n), 0)::BIGINT AS external, count(*) FILTER (WHERE regexp_matches(lower(name), '{_SECURE}'))::BIGINT AS security,
              count(tst.node)::BIGINT AS tested, max(depth)::BIGINT AS depth FROM member JOIN nodes ON id = member.node LEFT JOIN ext USING (node) LEFT JOIN tst ON tst.node = member.node GROUP BY entry HAVING count(*) >= 2),
     scored AS (SELECT *, round(least(greatest(0.30::DOUBLE * least((files - 1)::DOUBLE / 4, 1) + 0.20::DOUBLE * least(external::DOUBLE / 5, 1) + 0.25::DOUBLE * (security::DOUBLE / nodes) + 0.15::DOUBLE * (1 - tested::DOUBLE / nodes) + 0.10::DOUBLE * least(depth::DOUBLE / 10, 1), 0), 1) * 10000)::BIGINT AS criticality FROM flow)"""
 
 
+def _flows(g):
+    members = risk.flow_members(g.edges, risk.affected_entries(g.edges, g.nodes, _changed(g)))
+    return risk.flows(members, g.edges, g.nodes, g.resolved), members
+
+
 @query(_FLOWS + " SELECT * FROM scored")
 def flow_criticality(g):
-    return risk.flows(g.edges, g.nodes, g.resolved, risk.affected_entries(g.edges, g.nodes, _changed(g)))
+    return _flows(g)[0]
+
+
+_SCORES = _FLOWS + ", flow_score AS (SELECT m.node AS id, sum(criticality)::BIGINT AS flow FROM member m JOIN changed ON changed.id = m.node JOIN scored USING (entry) GROUP BY 1)"
+
+
+@query(_SCORES + " SELECT * FROM flow_score")
+def flow_score_per_root(g):
+    return risk.flow_scores(*_flows(g), _changed(g))
 
 
 @query(_ENTRIES + """, walk(entry, node) AS (SELECT DISTINCT entry, entry FROM entries UNION SELECT entry, target_id FROM walk JOIN edges ON kind = 'CALLS' AND source_id = node) SELECT DISTINCT entry, node FROM walk""")
 def trace_flow_nodes(g):
-    steps = g.edges.where("kind = 'CALLS'").select(c("source_id").alias("node"), c("target_id").alias("other"))
-    entries = risk.affected_entries(g.edges, g.nodes, _changed(g)).select(c("entry").alias("id")).distinct()
-    return traverse.closure(steps, entries).select(c("root").alias("entry"), "node")
+    return risk.flow_members(g.edges, risk.affected_entries(g.edges, g.nodes, _changed(g))).select("entry", "node")
 
 
-_COUNTS = _OVERRIDES + f""", {_CHANGED}, base AS (SELECT id, id AS of FROM changed UNION SELECT id, base_id FROM changed JOIN overrides ON member_id = id),
+_COUNT_PARTS = """, base AS (SELECT id, id AS of FROM changed UNION SELECT id, base_id FROM changed JOIN overrides ON member_id = id),
     callers AS (SELECT id, count(DISTINCT source_id) AS callers FROM base JOIN edges ON target_id = of AND kind IN ('CALLS', 'DEPENDS_ON') GROUP BY id),
     back AS (SELECT target_id AS node, source_id AS other FROM edges WHERE kind = 'CALLS' UNION SELECT member_id, base_id FROM overrides WHERE member_id <> base_id),
-    reach(root, node) AS (SELECT id, id FROM changed UNION SELECT root, other FROM reach JOIN back USING (node)),
-    tests AS (SELECT root AS id, count(DISTINCT source_id) AS tests, bool_or(node = root) AS direct FROM reach JOIN edges ON target_id = node AND kind = 'TEST_CALLS' GROUP BY root),
-    counts AS (SELECT id, coalesce(callers, 0)::BIGINT AS callers, coalesce(tests, 0)::BIGINT AS tests, coalesce(direct, false) AS direct FROM changed LEFT JOIN callers USING (id) LEFT JOIN tests USING (id))"""
+    above(root, node) AS (SELECT id, id FROM changed UNION SELECT root, other FROM above JOIN back USING (node)),
+    tests AS (SELECT root AS id, count(DISTINCT source_id) AS tests, bool_or(node = root) AS direct FROM above JOIN edges ON target_id = node AND kind = 'TEST_CALLS' GROUP BY root),
+    wide AS (SELECT root AS id, count(*) > 5000 AS omitted FROM above GROUP BY root),
+    counts AS (SELECT id, coalesce(callers, 0)::BIGINT AS callers, coalesce(tests, 0)::BIGINT AS tests, coalesce(direct, false) AS direct, coalesce(omitted, false) AS omitted FROM changed LEFT JOIN callers USING (id) LEFT JOIN tests USING (id) LEFT JOIN wide USING (id))"""
+_COUNTS = _OVERRIDES + ", " + _CHANGED + _COUNT_PARTS
+_RISK = _SCORES + _OVERRIDES.replace("RECURSE", "") + _COUNT_PARTS + f""", parts AS (SELECT c.id, n.kind, c.tests, c.direct, least(coalesce(flow, 0), 2500) AS flow, CASE n.kind WHEN 'terraform' THEN 0 WHEN 'test' THEN 500 ELSE 3000 - 500 * least(c.tests, 5) END AS untested,
+      CASE WHEN regexp_matches(lower(name), '{_SECURE}') THEN 2000 ELSE 0 END AS security, CASE WHEN callers = 0 THEN 0 WHEN callers = 1 THEN 250 WHEN callers <= 3 THEN 500 WHEN callers <= 15 THEN 750 ELSE 1000 END AS called FROM counts c JOIN nodes n USING (id) LEFT JOIN flow_score USING (id)),
+    risks AS (SELECT *, (flow + untested + security + called)::BIGINT AS score FROM parts)"""
 
 
 def _counts(g):
     return risk.risk_counts(g.edges, traverse.override_closure(g.implements, g.nodes), g.nodes, _changed(g))
 
 
+def _risks(g):
+    named = _counts(g).join(g.nodes.select("id", "name", "kind"), "id").join(risk.flow_scores(*_flows(g), _changed(g)), "id", "left")
+    flow = F.coalesce("flow", F.lit(0))
+    return named.select("id", "kind", "tests", "direct", risk.node_risk(flow, c("tests"), S.security_sensitive(c("name")), c("callers"), c("kind")).alias("risk"))
+
+
 @query(_COUNTS + " SELECT * FROM counts")
 def node_risk_counts(g):
     return _counts(g)
 
 
-@query(_COUNTS + """, r AS (SELECT c.*, name, 0 + greatest(0, 3000 - 500 * least(tests, 5)) + CASE WHEN lower(name) LIKE '%sign%' THEN 2000 ELSE 0 END
-      + CASE WHEN callers = 0 THEN 0 WHEN callers = 1 THEN 250 WHEN callers <= 3 THEN 500 WHEN callers <= 15 THEN 750 ELSE 1000 END AS score FROM counts c JOIN nodes USING (id))
-    SELECT id, score::BIGINT AS score, printf('%d.%04d', (score // 10000)::BIGINT, (score % 10000)::BIGINT) AS score_text, row_number() OVER (ORDER BY score DESC, id) AS rank FROM r""")
+@query(_RISK + " SELECT id, score, printf('%d.%04d', (score // 10000)::BIGINT, (score % 10000)::BIGINT) AS score_text, row_number() OVER (ORDER BY score DESC, id) AS rank FROM risks")
 def node_risk_rank(g):
-    named = _counts(g).join(g.nodes.select("id", "name"), "id")
-    score = risk.node_risk(F.lit(0), c("tests"), S.security_sensitive(c("name")), c("callers")).cast("long")
     # Changed roots are a review's, so their ranking goes through one task.
-    return named.select("id", score.alias("score")).select("id", "score", S.score_text(c("score")).alias("score_text"), F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long").alias("rank"))
+    score = c("risk.score")
+    return _risks(g).select("id", score.alias("score"), S.score_text(score).alias("score_text"), F.row_number().over(Window.orderBy(F.desc(score), "id")).cast("long").alias("rank"))
 
 
-@query(" SELECT p_partkey, count(DISTINCT source_id)::BIGINT AS callers, CASE WHEN count(DISTINCT source_id) = 0 THEN 0 WHEN count(DISTINCT source_id) = 1 THEN 250 WHEN count(DISTINCT source_id) <= 3 THEN 500 WHEN count(DISTINCT source_id) <= 15 THEN 750 ELSE 1000 END AS tier FROM part LEFT JOIN edges ON target_id = 5000000000 + p_partkey AND edges.kind IN ('CALLS', 'DEPENDS_ON') GROUP BY p_partkey")
+@query(_RISK + """ SELECT id, concat_ws('+', CASE WHEN kind = 'test' THEN 'changed-test' WHEN kind = 'terraform' THEN 'test-paths-unmodeled' WHEN tests = 0 THEN 'no-static-test-path' WHEN NOT direct THEN 'indirect-test-coverage' ELSE 'direct-test-coverage' END,
+    CASE WHEN flow > 0 THEN 'affected-flow' END, CASE WHEN security > 0 THEN 'security-sensitive' END, CASE WHEN called > 0 THEN 'caller-impact' END, CASE WHEN called = 1000 THEN 'high-fan-in' END) AS rationale FROM risks""")
+def risk_rationale(g):
+    return _risks(g).select("id", risk.rationale(c("risk"), c("kind"), c("tests"), c("direct")).alias("rationale"))
+
+
+@query(_RISK + " SELECT score, id FROM risks ORDER BY score DESC, id LIMIT 1")
+def top_risk(g):
+    return risk.top_risk(_risks(g).select("id", "risk.score"))
+
+
+@query(" SELECT p_partkey, count(DISTINCT source_id)::BIGINT AS callers, CASE WHEN count(DISTINCT source_id) = 0 THEN 0 WHEN count(DISTINCT source_id) = 1 THEN 250 WHEN count(DISTINCT source_id) <= 3 THEN 500 WHEN count(DISTINCT source_id) <= 15 THEN 750 ELSE 1000 END AS tier FROM part LEFT JOIN edges ON target_id = 500000000000000000 + p_partkey AND edges.kind IN ('CALLS', 'DEPENDS_ON') GROUP BY p_partkey")
 def fan_in_tiers(g):
-    calls = g.edges.where("kind in ('CALLS', 'DEPENDS_ON')").groupBy((c("target_id") - 5_000_000_000).alias("p_partkey")).agg(F.count_distinct("source_id").alias("callers"))
+    calls = g.edges.where("kind in ('CALLS', 'DEPENDS_ON')").groupBy((c("target_id") - 500_000_000_000_000_000).alias("p_partkey")).agg(F.count_distinct("source_id").alias("callers"))
     return g.table("part").select("p_partkey").join(calls, "p_partkey", "left").withColumn("callers", F.coalesce("callers", F.lit(0)).cast("long")).withColumn("tier", risk.fan_in(c("callers")))
 
 
 _IMPORTS = """WITH RECURSIVE imports AS (SELECT s_nationkey AS node, c_nationkey AS other FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey
-    WHERE s_nationkey <> c_nationkey AND l_suppkey % 9 = 0 AND o_custkey % 11 = 0 GROUP BY ALL), reach(node, other) AS (SELECT * FROM imports UNION SELECT r.node, i.other FROM reach r JOIN imports i ON i.node = r.other)"""
+    WHERE s_nationkey <> c_nationkey GROUP BY ALL), reach(node, other) AS (SELECT * FROM imports UNION SELECT r.node, i.other FROM reach r JOIN imports i ON i.node = r.other)"""
 
 
 def _imports(g):
-    item = g.table("lineitem").where("l_suppkey % 9 = 0").join(g.table("orders").where("o_custkey % 11 = 0"), c("l_orderkey") == c("o_orderkey"))
+    item = g.table("lineitem").join(g.table("orders"), c("l_orderkey") == c("o_orderkey"))
     both = item.join(g.table("supplier"), c("l_suppkey") == c("s_suppkey")).join(g.table("customer"), c("o_custkey") == c("c_custkey"))
     return both.where("s_nationkey <> c_nationkey").select(c("s_nationkey").alias("node"), c("c_nationkey").alias("other")).distinct()
 
@@ -303,15 +334,15 @@ def shortest_cycle(g):
 
 # -- spans ---------------------------------------------------------------------------------------------------------
 
-_SPANS = """, spans AS (SELECT 1000000000 + l_orderkey % 5 AS file_id, CASE WHEN l_linenumber % 4 = 0 THEN 2 * (l_orderkey % 3000 + 1) + 1 ELSE 2 * (l_orderkey % 3000 + 1) END AS start,
-    CASE WHEN l_linenumber % 4 = 0 THEN 2 * (l_orderkey % 3000 + 1) + 1 ELSE 2 * (l_orderkey % 3000 + 1 + l_linenumber) END AS stop FROM lineitem WHERE l_orderkey % 97 = 0),
-    cover AS (SELECT file_id, 2 * line_start AS start, 2 * line_end AS stop FROM nodes WHERE kind <> 'file' AND id % 3 = 0)"""
+_SPANS = """, spans AS (SELECT 100000000000000000 + l_orderkey % 5 AS file_id, CASE WHEN l_linenumber % 4 = 0 THEN 2 * (l_orderkey % 3000 + 1) + 1 ELSE 2 * (l_orderkey % 3000 + 1) END AS start,
+    CASE WHEN l_linenumber % 4 = 0 THEN 2 * (l_orderkey % 3000 + 1) + 1 ELSE 2 * (l_orderkey % 3000 + 1 + l_linenumber) END AS stop FROM lineitem),
+    cover AS (SELECT DISTINCT file_id, 2 * line_start AS start, 2 * line_end AS stop FROM nodes WHERE kind = 'test')"""
 
 
 def _spans(g):
     first, anchor = c("l_orderkey") % 3000 + 1, c("l_linenumber") % 4 == 0
-    return g.table("lineitem").where("l_orderkey % 97 = 0").select(
-        (c("l_orderkey") % 5 + 1_000_000_000).alias("file_id"), F.when(anchor, 2 * first + 1).otherwise(2 * first).alias("start"), F.when(anchor, 2 * first + 1).otherwise(2 * (first + c("l_linenumber"))).alias("end")
+    return g.table("lineitem").select(
+        (c("l_orderkey") % 5 + 100_000_000_000_000_000).alias("file_id"), F.when(anchor, 2 * first + 1).otherwise(2 * first).alias("start"), F.when(anchor, 2 * first + 1).otherwise(2 * (first + c("l_linenumber"))).alias("end")
     )
 
 
@@ -324,47 +355,48 @@ def merged_spans(g):
     return intervals.merged(_spans(g), "file_id")
 
 
-@query(_SPANS + " SELECT DISTINCT n.file_id, n.id FROM nodes n JOIN spans s ON s.file_id = n.file_id AND s.start <= 2 * n.line_end AND 2 * n.line_start <= s.stop WHERE n.kind <> 'file'")
+_MERGED = _SPANS + _MERGE.format(name="m", source="spans")
+
+
+def _symbols(g, where="kind <> 'file'"):
+    return g.nodes.where(where).select("id", "file_id", (2 * c("line_start")).alias("line_start"), (2 * c("line_end")).alias("line_end"))
+
+
+@query(_MERGED + " SELECT DISTINCT n.file_id, n.id FROM nodes n JOIN m s ON s.file_id = n.file_id AND s.start <= 2 * n.line_end AND 2 * n.line_start <= s.stop WHERE n.kind <> 'file'")
 def changed_symbols_interval(g):
-    symbols = g.nodes.where("kind <> 'file'").select("id", "file_id", (2 * c("line_start")).alias("line_start"), (2 * c("line_end")).alias("line_end"))
-    return intervals.overlap(_spans(g), symbols, "file_id").select("file_id", "id").distinct()
+    return intervals.touched(_spans(g), _symbols(g), "file_id").select("file_id", "id").distinct()
 
 
 @query(_SPANS + _MERGE.format(name="a", source="spans") + """, pts AS (SELECT file_id, start, stop, unnest(range(start, stop + 1)) AS p FROM a),
-    free AS (SELECT * FROM pts WHERE NOT EXISTS (SELECT 1 FROM cover v WHERE v.file_id = pts.file_id AND p BETWEEN v.start AND v.stop)),
+    dark AS (SELECT DISTINCT file_id, unnest(range(start, stop + 1)) AS p FROM cover), free AS (SELECT * FROM pts ANTI JOIN dark USING (file_id, p)),
     runs AS (SELECT file_id, min(p) AS a, max(p) AS b FROM (SELECT *, p - row_number() OVER (PARTITION BY file_id, start ORDER BY p) AS k FROM free) GROUP BY file_id, start, k),
     rounded AS (SELECT file_id, CASE WHEN a = b THEN a ELSE a + a % 2 END AS start, CASE WHEN a = b THEN b ELSE b - b % 2 END AS "end" FROM runs) SELECT * FROM rounded WHERE start <= "end" """)
 def residual_ranges(g):
-    cover = g.nodes.where("kind <> 'file' and id % 3 = 0").select("file_id", (2 * c("line_start")).alias("start"), (2 * c("line_end")).alias("end"))
-    return intervals.residual(_spans(g), cover, "file_id")
+    return intervals.residual(_spans(g), _symbols(g, "kind = 'test'").select("file_id", c("line_start").alias("start"), c("line_end").alias("end")), "file_id")
 
 
-@query(_SPANS + """, notes AS (SELECT event_id, 1000000000 + event_id % 5 AS file_id, 2 * (event_id % 3000 + 1) AS at FROM events), hit AS (SELECT DISTINCT n.id, n.file_id, n.line_start, n.line_end FROM nodes n JOIN spans s ON s.file_id = n.file_id AND s.start <= 2 * n.line_end AND 2 * n.line_start <= s.stop WHERE kind <> 'file')
-    SELECT event_id FROM notes n WHERE EXISTS (SELECT 1 FROM spans s WHERE s.file_id = n.file_id AND n.at BETWEEN s.start AND s.stop) OR EXISTS (SELECT 1 FROM hit h WHERE h.file_id = n.file_id AND n.at BETWEEN 2 * h.line_start AND 2 * h.line_end)""")
+@query(_MERGED + """, notes AS (SELECT event_id, 100000000000000000 + event_id % 5 AS file_id, 2 * (event_id % 3000 + 1) AS place FROM events), hit AS (SELECT DISTINCT n.file_id, 2 * n.line_start AS start, 2 * n.line_end AS stop FROM nodes n JOIN m s ON s.file_id = n.file_id AND s.start <= 2 * n.line_end AND 2 * n.line_start <= s.stop WHERE kind <> 'file'),
+    light AS (SELECT DISTINCT file_id, unnest(range(start, stop + 1)) AS place FROM (SELECT * FROM hit UNION SELECT * FROM m)) SELECT event_id FROM notes SEMI JOIN light USING (file_id, place)""")
 def notes_in_scope(g):
-    notes = g.table("events").select("event_id", (c("event_id") % 5 + 1_000_000_000).alias("file_id"), (2 * (c("event_id") % 3000 + 1)).alias("start")).withColumn("end", c("start"))
-    symbols = g.nodes.where("kind <> 'file'").select("id", "file_id", (2 * c("line_start")).alias("line_start"), (2 * c("line_end")).alias("line_end"))
-    spans = _spans(g)
-    hit = symbols.join(intervals.overlap(spans, symbols, "file_id").select("id").distinct(), "id", "left_semi").select("file_id", "line_start", "line_end")
-    scope = hit.unionByName(spans.select("file_id", c("start").alias("line_start"), c("end").alias("line_end"))).distinct()
-    return intervals.overlap(notes, scope, "file_id").select("event_id").distinct()
+    notes = g.table("events").select("event_id", (c("event_id") % 5 + 100_000_000_000_000_000).alias("file_id"), (2 * (c("event_id") % 3000 + 1)).alias("line_start")).withColumn("line_end", c("line_start"))
+    return intervals.in_scope(notes, _spans(g), _symbols(g), "file_id").select("event_id").distinct()
 
 
-@query(_SPANS + """, region AS (SELECT l_orderkey, l_linenumber, l_partkey, 1000000000 + l_partkey % 6 AS file_id, 2 * (l_partkey % 4000 + 1) AS a, 2 * (l_partkey % 4000 + 1 + l_linenumber) AS b FROM lineitem WHERE l_orderkey % 10 = 0)
-    SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN file_id = 1000000005 THEN 'unmapped-file' ELSE 'unmapped-region' END AS reason FROM region r WHERE NOT EXISTS (SELECT 1 FROM cover v WHERE v.file_id = r.file_id AND r.a <= v.stop AND v.start <= r.b)""")
+@query(_SPANS + """, dark AS (SELECT DISTINCT file_id, unnest(range(start, stop + 1)) AS p FROM cover), region AS (SELECT l_orderkey, l_linenumber, l_partkey, 100000000000000000 + l_partkey % 6 AS file_id, 2 * (l_partkey % 4000 + 1) AS a, 2 * (l_partkey % 4000 + 1 + l_linenumber) AS b FROM lineitem),
+    hit AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, unnest(range(a, b + 1)) AS p FROM region) SEMI JOIN dark USING (file_id, p))
+    SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN file_id = 100000000000000005 THEN 'unmapped-file' ELSE 'unmapped-region' END AS reason FROM region ANTI JOIN hit USING (l_orderkey, l_linenumber, l_partkey)""")
 def coverage_unmapped(g):
-    region = g.table("lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "l_partkey", (c("l_partkey") % 6 + 1_000_000_000).alias("file_id"), (2 * (c("l_partkey") % 4000 + 1)).alias("start"), (2 * (c("l_partkey") % 4000 + 1 + c("l_linenumber"))).alias("end"))
-    symbols = g.nodes.where("kind <> 'file' and id % 3 = 0").select("file_id", (2 * c("line_start")).alias("line_start"), (2 * c("line_end")).alias("line_end")).distinct()
-    hit = intervals.overlap(region, symbols, "file_id").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
-    reason = F.when(c("file_id") == 1_000_000_005, "unmapped-file").otherwise("unmapped-region")
-    return region.join(hit, ["l_orderkey", "l_linenumber", "l_partkey"], "left_anti").select("l_orderkey", "l_linenumber", "l_partkey", reason.alias("reason"))
+    region = g.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (c("l_partkey") % 6 + 100_000_000_000_000_000).alias("file_id"), (2 * (c("l_partkey") % 4000 + 1)).alias("line_start"), (2 * (c("l_partkey") % 4000 + 1 + c("l_linenumber"))).alias("line_end"))
+    cover = _symbols(g, "kind = 'test'").select("file_id", c("line_start").alias("start"), c("line_end").alias("end"))
+    files = g.nodes.where("kind = 'file'").select(c("id").alias("file_id"))
+    return intervals.unmapped(region, cover, files, "file_id", ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
-@query("""WITH RECURSIVE links AS (SELECT o_orderkey AS link, unnest(['o' || o_orderkey // 8, 'c' || o_custkey, 'd' || o_custkey % 400]) AS id FROM orders WHERE o_orderkey % 7 = 0),
+@query("""WITH RECURSIVE links AS (SELECT o_orderkey AS link, unnest(['o' || o_orderkey // 8, 'c' || o_custkey, 'd' || o_custkey % 400]) AS id FROM orders),
     seen(id) AS (SELECT 'c1' UNION SELECT b.id FROM seen s JOIN links a ON a.id = s.id JOIN links b ON b.link = a.link) SELECT id FROM seen""", graph=False)
 def provenance_fixpoint(g):
     ends = F.array(F.concat(F.lit("o"), F.floor(c("o_orderkey") / 8)), F.concat(F.lit("c"), c("o_custkey")), F.concat(F.lit("d"), c("o_custkey") % 400))
-    links = g.table("orders").where("o_orderkey % 7 = 0").select(c("o_orderkey").alias("link"), F.explode(ends).alias("id"))
+    links = g.table("orders").select(c("o_orderkey").alias("link"), F.explode(ends).alias("id"))
     return intervals.provenance_fixpoint(links, g.spark.sql("select 'c1' as id"))
 
 
@@ -485,7 +517,7 @@ def requirement_tokens(g):
     return g.table("orders").select("o_orderkey", F.explode(S.requirement_tokens(line)).alias("token"))
 
 
-@query("SELECT doc_id, regexp_matches(lower(text), 'auth|login|password|token|session|crypt|secret|credential|permission|sql|query|execute|connect|socket|request|http|sanitize|validate|encrypt|decrypt|hash|sign|verify|admin|privilege') AS sensitive FROM documents", graph=False)
+@query(f"SELECT doc_id, regexp_matches(lower(text), '{_SECURE}') AS sensitive FROM documents", graph=False)
 def security_predicate(g):
     return g.table("documents").select("doc_id", S.security_sensitive(c("text")).alias("sensitive"))
 

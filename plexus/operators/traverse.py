@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
+#: Steps of a graph that are broadcast, 16 bytes each.
+FEW_STEPS = 1 << 22
+
 #: Relations in the order that breaks ties between them.
 RELATIONS = {"CALLS": 0, "TEST_CALLS": 1, "IMPORTS": 2, "DEPENDS_ON": 3, "IMPLEMENTS": 4, "DISPATCH": 5}
 
@@ -119,31 +126,97 @@ def flow_neighbors(edges: DataFrame, overrides: DataFrame) -> DataFrame:
     )
 
 
-def closure(steps: DataFrame, roots: DataFrame, hops: int = 15) -> DataFrame:
-    """root, node, depth: all nodes that each root reaches over (node, other) steps, with the fewest hops."""
-    frontier = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"))
-    seen = cut(frontier, "flow")
-    for depth in range(1, hops + 1):
+class _Adjacency:
+    """Steps as sorted arrays: the starts of each node's run of ends."""
+
+    def __init__(self, steps: DataFrame):
+        rows = steps.toPandas()
+        node, other = rows["node"].to_numpy(np.int64), rows["other"].to_numpy(np.int64)
+        order = np.argsort(node, kind="stable")
+        self.ids, self.first = np.unique(node[order], return_index=True)
+        self.first = np.append(self.first, len(node))
+        self.other = other[order]
+
+    def after(self, nodes: np.ndarray) -> np.ndarray:
+        """Distinct ends of the nodes' steps."""
+        at = np.searchsorted(self.ids, nodes)
+        at = at[(at < len(self.ids)) & (self.ids[np.minimum(at, len(self.ids) - 1)] == nodes)] if len(self.ids) else at[:0]
+        low, size = self.first[at], self.first[at + 1] - self.first[at]
+        return np.unique(self.other[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())])
+
+
+def closure(steps: DataFrame, roots: DataFrame, hops: int | None = 15, few_steps: int = FEW_STEPS) -> DataFrame:
+    """root, node, depth: all nodes that each root reaches over (node, other) steps, with the fewest hops (None: however many).
+
+    Steps are counted first. Up to ``few_steps`` of them, two longs each, are broadcast and each task walks its roots
+    over arrays; beyond, all roots go a hop at a time by a join, and rounds are kept apart: a round's rows are held
+    against those of each round before it, which are never written again.
+    """
+    steps = steps.select("node", "other")
+    start = roots.select(F.col("id").alias("root")).distinct()
+    if steps.count() <= few_steps:
+        held = steps.sparkSession.sparkContext.broadcast(_Adjacency(steps))
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            graph = held.value
+            for batch in batches:
+                for root in batch.column(0).to_pylist():
+                    seen = frontier = np.array([root], np.int64)
+                    depth = 0
+                    while len(frontier):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(frontier), root)), pa.array(frontier), pa.array(np.full(len(frontier), depth, np.int32))], ["root", "node", "depth"])
+                        if depth == hops:
+                            break
+                        frontier = np.setdiff1d(graph.after(frontier), seen, assume_unique=True)
+                        seen, depth = np.union1d(seen, frontier), depth + 1
+
+        spread = start.repartition(8 * start.sparkSession.sparkContext.defaultParallelism, "root")
+        return cut(spread.mapInArrow(walk, "root long, node long, depth int"), "flow")
+    frontier = cut(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "flow")
+    seen, depth = frontier, 0
+    while depth != hops:
+        depth += 1
         new = frontier.join(steps, "node").select("root", F.col("other").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
         frontier = cut(new.withColumn("depth", F.lit(depth)), "flow")
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier), "flow")
+        seen = seen.unionByName(frontier)
     return seen
 
 
 def strong_components(steps: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of every node on a cycle: reach is closed by repeated squaring.
+    """node, component (its smallest node) of every node on a cycle with others.
 
-    For import graphs between files or packages; pairs in reach are kept, so size grows with the square of a component.
+    Components are peeled: each node learns the smallest node that it reaches and the smallest that reaches it, both
+    by rounds of minima along steps. Nodes whose two agree form the component of that node and go, and steps
+    between different pairs of minima go with them. So a round keeps a row a step, not a row for each pair in reach.
     """
-    reach = cut(steps.where("node <> other").select("node", "other").distinct(), "reach")
+    left = cut(steps.where("node <> other").select("node", "other").distinct(), "steps")
+    found = None
+    while not left.isEmpty():
+        ends = left.select("node").unionByName(left.select(F.col("other").alias("node"))).distinct()
+        ahead = _minima(left, ends)
+        behind = _minima(left.select(F.col("other").alias("node"), F.col("node").alias("other")), ends)
+        both = cut(ahead.withColumnRenamed("low", "ahead").join(behind.withColumnRenamed("low", "behind"), "node"), "minima")
+        done = both.where("ahead = behind").select("node", F.col("ahead").alias("component"))
+        found = done if found is None else found.unionByName(done)
+        open_ = both.where("ahead <> behind")
+        name = lambda end: open_.select(F.col("node").alias(end), F.struct("ahead", "behind").alias(f"_{end}"))
+        left = cut(left.join(name("node"), "node").join(name("other"), "other").where("_node = _other").select("node", "other"), "steps")
+    if found is None:
+        return left.select("node", F.col("other").alias("component"))
+    sizes = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return found.join(sizes, "component", "left_semi").select("node", "component")
+
+
+def _minima(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, low: the smallest node that each reaches, itself included; only what changed is joined again."""
+    low = cut(nodes.select("node", F.col("node").alias("low")), "low")
+    moved = low
     while True:
-        longer = reach.join(reach.select(F.col("node").alias("other"), F.col("other").alias("end")), "other").select("node", F.col("end").alias("other"))
-        new = longer.distinct().join(reach, ["node", "other"], "left_anti")
-        new = cut(new, "reach")
-        if new.isEmpty():
-            break
-        reach = cut(reach.unionByName(new), "reach")
-    back = reach.select(F.col("other").alias("node"), F.col("node").alias("other"))
-    return reach.join(back, ["node", "other"]).where("node <> other").groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component"))
+        met = steps.join(moved.select(F.col("node").alias("other"), "low"), "other").groupBy("node").agg(F.min("low").alias("new"))
+        both = cut(low.join(met, "node", "left").withColumn("went", F.coalesce(F.col("new") < F.col("low"), F.lit(False))).select("node", F.least("low", "new").alias("low"), "went"), "low")
+        moved = both.where("went").select("node", "low")
+        low = both.select("node", "low")
+        if moved.isEmpty():
+            return low

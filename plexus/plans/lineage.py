@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` (a temporary folder only where that is unset) and read it back."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. A temporary folder is made only where that is unset and all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="plexus-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/plexus/{label}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write ``df`` below the shared folder and read it back: an executor that is lost takes nothing with it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/plexus/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

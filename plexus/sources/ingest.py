@@ -43,21 +43,93 @@ def patch_sections(lines: DataFrame, by: str = "patch", order: str = "n", text:
 
 
 def tsv_rows(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """path, n, key, occurrence, cells (map by header): rows of each TSV file, known by first column and occurrence."""
+    """path, n, key, occurrence, width, expected, cells: rows of each TSV file, known by first column and occurrence.
+
+    All rows are there, whatever their width. ``cells`` maps those column names that the header has once, and not empty, to
+    what the row has under them.
+    """
     lines = files.select(path, F.posexplode(F.split(F.regexp_replace(content, "\n$", ""), "\n")).alias("n", "_line"), F.split(F.substring_index(content, "\n", 1), "\t").alias("_head")).where("n > 0")
-    rows = lines.select(path, "n", F.split("_line", "\t").alias("_cells"), "_head").where(F.size("_cells") == F.size("_head"))
+    rows = lines.select(path, "n", F.split("_line", "\t").alias("_cells"), "_head")
     key = F.get("_cells", F.lit(0))
-    return rows.select(path, "n", key.alias("key"), F.row_number().over(Window.partitionBy(path, key).orderBy("n")).alias("occurrence"), F.map_from_arrays("_head", "_cells").alias("cells"))
+    named = F.filter(F.arrays_zip("_head", "_cells"), lambda x: (x["_head"] != "") & x["_cells"].isNotNull() & (F.size(F.filter("_head", lambda h: h == x["_head"])) == 1))
+    cells = F.map_from_arrays(F.transform(named, lambda x: x["_head"]), F.transform(named, lambda x: x["_cells"]))
+    return rows.select(
+        path, "n", key.alias("key"), F.row_number().over(Window.partitionBy(path, key).orderBy("n")).alias("occurrence"),
+        F.size("_cells").alias("width"), F.size("_head").alias("expected"), cells.alias("cells"),
+    )
+
+
+def tsv_issues(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """path, kind, name, line, n: column names that repeat, rows of another width than the header's, keys that repeat."""
+    head = files.select(path, F.explode(F.split(F.substring_index(content, "\n", 1), "\t")).alias("name"))
+    none = F.lit(None).cast("long")
+    twice = head.groupBy(path, "name").agg(F.count("*").alias("n")).where("n > 1").select(path, F.lit("duplicate-header").alias("kind"), "name", none.alias("line"), "n")
+    rows = tsv_rows(files, path, content)
+    wide = rows.where("width <> expected").select(path, F.lit("row-width").alias("kind"), F.lit(None).cast("string").alias("name"), (F.col("n") + 1).cast("long").alias("line"), F.col("width").cast("long").alias("n"))
+    keys = rows.groupBy(path, "key").agg(F.count("*").alias("n")).where("n > 1").select(path, F.lit("duplicate").alias("kind"), F.col("key").alias("name"), none.alias("line"), "n")
+    return twice.unionByName(wide).unionByName(keys)
+
+
+def report_problems(reports: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """path, problem of coverage reports that the two readers above leave out: no JSON of a known kind, or an unsupported version."""
+    llvm, py = F.from_json(content, _LLVM), F.from_json(content, _COVERAGE_PY)
+    version, form = llvm["version"], py["meta"]["format"]
+    problem = (
+        F.when(version.isNotNull() & llvm["data"].isNotNull(), F.when(~version.rlike(r"^[23]\."), "unsupported-version"))
+        .when(form.isNotNull() & py["files"].isNotNull(), F.when(form != 3, "unsupported-version")).otherwise("malformed")
+    )
+    return reports.select(path, problem.alias("problem")).where("problem is not null")
 
 
 def _as_kind(kind: str) -> Callable[[Column], Column]:
     return lambda value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
 
 
+def fences(lines: DataFrame, by: str, order: str = "n", text: str = "line") -> DataFrame:
+    """lines with fence (null outside, else the number of its opening line) and role (open, inside, close).
+
+    A fence is closed by a run of its own mark that is as long at least and stands alone. One fold over the lines that
+    begin with a run, the few that can open or close anything, tells where; a fence that no line closes lasts to the end.
+    """
+    run = F.regexp_extract(text, r"^ {0,3}(`{3,}|~{3,})", 1)
+    bare = F.col(text).rlike(r"^ {0,3}(`{3,}|~{3,})\s*$")
+    marks = lines.where(run != "").groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("n"), F.substring(run, 1, 1).alias("mark"), F.char_length(run).alias("size"), bare.alias("bare")))).alias("marks"))
+    start = F.struct(F.lit(None).cast("long").alias("n"), F.lit("").alias("mark"), F.lit(0).alias("size"), F.array().cast("array<struct<first:bigint,last:bigint>>").alias("found"))
+
+    def step(a: Column, m: Column) -> Column:
+        ends = a["n"].isNotNull() & (m["mark"] == a["mark"]) & (m["size"] >= a["size"]) & m["bare"]
+        closed = F.struct(F.lit(None).cast("long").alias("n"), F.lit("").alias("mark"), F.lit(0).alias("size"), F.array_append(a["found"], F.struct(a["n"].alias("first"), m["n"].alias("last"))).alias("found"))
+        opened = F.struct(m["n"].alias("n"), m["mark"].alias("mark"), m["size"].alias("size"), a["found"].alias("found"))
+        return F.when(a["n"].isNull(), opened).when(ends, closed).otherwise(a)
+
+    def whole(a: Column) -> Column:
+        return F.when(a["n"].isNull(), a["found"]).otherwise(F.array_append(a["found"], F.struct(a["n"].alias("first"), F.lit(None).cast("long").alias("last"))))
+
+    held = marks.select(by, F.aggregate("marks", start, step, whole).alias("_held"))
+    rows = lines.join(held, by, "left")
+    n = F.col(order).cast("long")
+    own = F.get(F.filter("_held", lambda h: (h["first"] <= n) & (h["last"].isNull() | (n <= h["last"]))), F.lit(0))
+    role = F.when(own["first"] == n, "open").when(own["last"] == n, "close").when(own.isNotNull(), "inside")
+    return rows.select(*lines.columns, own["first"].alias("fence"), role.alias("role"), (own.isNotNull() & own["last"].isNull()).alias("unclosed"))
+
+
 def markdown_records(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """path, line, kind, value: links, requirement tokens and digests outside fences."""
-    lines = files.select(path, F.posexplode(F.split(content, "\n")).alias("_i", "_t"))
-    fence = F.when(F.col("_t").rlike(r"^ {0,3}(```|~~~)"), 1).otherwise(0)
-    lines = lines.withColumn("_f", fence).withColumn("_open", F.sum("_f").over(Window.partitionBy(path).orderBy("_i")) % 2).where("_f = 0 and _open = 0")
-    made = [F.transform(find(F.col("_t")), _as_kind(kind)) for kind, find in (("link", S.inline_links), ("requirement", S.requirement_tokens), ("digest", S.digest_tokens))]
-    return lines.select(path, (F.col("_i") + 1).cast("long").alias("line"), F.explode(F.concat(*made)).alias("r")).select(path, "line", "r.kind", "r.value")
+    """path, line, kind, value: links, reference definitions, inline code, requirement tokens, digests, fences and unclosed fences.
+
+    Lines of fences are read like others, as an index of what a document names; a fence is a record of its own with the
+    words after its mark and the sha-256 of its body.
+    """
+    split = files.select(path, F.posexplode(F.split(F.regexp_replace(content, "\r\n", "\n"), "\n")).alias("_i", "_t")).withColumn("n", (F.col("_i") + 1).cast("long"))
+    line = F.col("_t")
+    defined = S.reference_definition(line)
+    made = [F.transform(find, _as_kind(kind)) for kind, find in (
+        ("reference-definition", F.when(defined.isNotNull(), F.array(F.concat(defined["label"], F.lit(" "), defined["target"]))).otherwise(F.array().cast("array<string>"))),
+        ("link", S.inline_links(line)), ("inline-code", S.inline_code(line)), ("requirement", S.requirement_tokens(line)), ("digest", S.digest_tokens(line)),
+    )]
+    inline = split.select(path, F.col("n").alias("line"), F.explode(F.concat(*made)).alias("r")).select(path, "line", "r.kind", "r.value")
+    marked = fences(split, path, "n", "_t").where("fence is not null")
+    body = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "inside", F.struct("n", "_t")))), lambda x: x["_t"]))
+    info = F.max(F.when(F.col("role") == "open", F.trim(F.regexp_replace("_t", r"^ {0,3}(`+|~+)", ""))))
+    blocks = marked.groupBy(path, "fence").agg(F.concat_ws(" ", F.nullif(info, F.lit("")), F.sha2(body.cast("binary"), 256)).alias("value"), F.max("unclosed").alias("unclosed"))
+    blocks = blocks.select(path, F.col("fence").alias("line"), F.explode(F.when(F.col("unclosed"), F.array(F.lit("fence"), F.lit("unclosed-fence"))).otherwise(F.array(F.lit("fence")))).alias("kind"), "value")
+    return inline.unionByName(blocks.select(path, "line", "kind", "value"))

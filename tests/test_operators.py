@@ -1,5 +1,8 @@
 """Small literal cases."""
 
+import hashlib
+import random
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -19,7 +22,12 @@ def one(spark, *columns):
 def test_risk(spark):
     n = lambda *v: [F.lit(x) for x in v]
     assert one(spark, risk.criticality(*n(4, 3, 2, 1, 2, 5))) == (4175,)
-    assert one(spark, risk.node_risk(*n(1500, 3, True, 1)), risk.node_risk(*n(4000, 5, True, 10))) == (5250, 5750)
+    score = lambda *v: risk.node_risk(*n(*v))["score"]
+    assert one(spark, score(1500, 3, True, 1, "function"), score(4000, 5, True, 10, "function"), score(0, 0, False, 0, "test"), score(0, 0, False, 0, "terraform")) == (5250, 5750, 500, 0)
+    why = lambda kind, tests, direct, *v: risk.rationale(risk.node_risk(*n(*v), F.lit(kind)), F.lit(kind), *n(tests, direct))
+    assert one(spark, why("function", 0, False, 5, 0, True, 16), why("test", 0, False, 0, 0, False, 0), why("function", 2, False, 0, 2, False, 1)) == (
+        "no-static-test-path+affected-flow+security-sensitive+caller-impact+high-fan-in", "changed-test", "indirect-test-coverage+caller-impact",
+    )
     assert one(spark, *[risk.fan_in(F.lit(x)) for x in (0, 1, 2, 3, 4, 15, 16, 5000)]) == (0, 250, 500, 500, 750, 750, 1000, 1000)
 
 
@@ -39,6 +47,31 @@ def test_cycles(spark):
     assert {tuple(r) for r in traverse.strong_components(steps).collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("e", "c"), ("x", "x"), ("y", "x")}
 
 
+def reach(steps, root):
+    seen, frontier, depth = {root: 0}, {root}, 0
+    while frontier:
+        depth += 1
+        frontier = {b for a, b in steps if a in frontier} - seen.keys()
+        seen |= dict.fromkeys(frontier, depth)
+    return seen
+
+
+def test_walks_equal_brute_force(spark):
+    rng = random.Random(6)
+    steps = [(rng.randrange(60), rng.randrange(60)) for _ in range(110)]
+    df = spark.createDataFrame(steps, "node long, other long")
+    roots = spark.createDataFrame([(x,) for x in (0, 7, 7, 59, 999)], "id long")
+    want = {(root, node, depth) for root in (0, 7, 59, 999) for node, depth in reach(steps, root).items()}
+    for hops in (None, 3):
+        near = {r for r in want if hops is None or r[2] <= hops}
+        for few in (0, 1 << 20):  # by joins and over arrays
+            assert sorted(tuple(r) for r in traverse.closure(df, roots, hops, few_steps=few).collect()) == sorted(near)
+    both = {n: min(m for m in reach(steps, n) if n in reach(steps, m)) for n in range(60)}
+    held = {n: low for n, low in both.items() if sum(v == low for v in both.values()) > 1}
+    assert {r.node: r.component for r in traverse.strong_components(df).collect()} == held
+    assert traverse.strong_components(df.limit(0)).count() == 0 == traverse.closure(df, roots.limit(0)).count()
+
+
 def test_residual(spark):
     span = lambda *v: spark.createDataFrame([("f", a, b) for a, b in v], "p string, start long, end long")
     got = lambda a, b: sorted(tuple(r)[1:] for r in intervals.residual(a, b, "p").collect())
@@ -95,9 +128,19 @@ def test_ingest(spark):
     cov = '{"meta":{"format":3},"files":{"f":{"executed_lines":[1],"missing_lines":[2]}}}'
     assert {tuple(r) for r in ingest.coverage_py_lines(spark.createDataFrame([(cov,)], "content string")).collect()} == {("f", 1, 1), ("f", 2, 0)}
     tsv = spark.createDataFrame([("t", "k\tv\na\t1\na\t2\nbad\n")], "path string, content string")
-    assert [(r.key, r.occurrence, r.cells["v"]) for r in ingest.tsv_rows(tsv).orderBy("n").collect()] == [("a", 1, "1"), ("a", 2, "2")]
+    assert [(r.key, r.occurrence, r.width, r.cells.get("v")) for r in ingest.tsv_rows(tsv).orderBy("n").collect()] == [("a", 1, 2, "1"), ("a", 2, 2, "2"), ("bad", 1, 1, None)]
+    twice = spark.createDataFrame([("t", "k\tv\tv\na\t1\t2\na\t3\t4\nb\t5\n")], "path string, content string")
+    assert {(r.kind, r.name, r.line, r.n) for r in ingest.tsv_issues(twice).collect()} == {("duplicate-header", "v", None, 2), ("row-width", None, 4, 2), ("duplicate", "a", None, 2)}
+    odd = spark.createDataFrame([("a", llvm), ("b", llvm.replace("2.0.1", "9.1")), ("c", cov), ("d", cov.replace("3", "2")), ("e", "{"), ("f", None)], "path string, content string")
+    assert {tuple(r) for r in ingest.report_problems(odd).collect()} == {("b", "unsupported-version"), ("d", "unsupported-version"), ("e", "malformed"), ("f", "malformed")}
     md = spark.createDataFrame([("m", "[x](y.md)\n```\n[no](no)\n```\nREQ-7")], "path string, content string")
-    assert {tuple(r)[1:] for r in ingest.markdown_records(md).collect()} == {(1, "link", "y.md"), (5, "requirement", "REQ-7")}
+    got = {tuple(r)[1:] for r in ingest.markdown_records(md).collect()}
+    assert {(1, "link", "y.md"), (3, "link", "no"), (5, "requirement", "REQ-7")} <= got and (2, "fence", hashlib.sha256(b"[no](no)").hexdigest()) in got and len(got) == 4
+    text = "````py\n```\n~~~\n````\n~~~ x\n`a` ``b`c``\n[l]: <t> u\n"
+    rows = spark.createDataFrame([("m", i + 1, x) for i, x in enumerate(text.split("\n"))], "path string, n int, line string")
+    assert [(r.fence, r.role, r.unclosed) for r in ingest.fences(rows, "path").orderBy("n").collect()][:6] == [(1, "open", False), (1, "inside", False), (1, "inside", False), (1, "close", False), (5, "open", True), (5, "inside", True)]
+    kinds = {tuple(r)[1:3] for r in ingest.markdown_records(spark.createDataFrame([("m", text)], "path string, content string")).collect()}
+    assert {(1, "fence"), (5, "fence"), (5, "unclosed-fence"), (6, "inline-code"), (7, "reference-definition")} == kinds
 
 
 def test_bounded(spark):

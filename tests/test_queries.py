@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from plexus.operators import source_queries  # noqa: F401
 from plexus.operators.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
