@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..plans import render
+from ..plans import pages, render, review
 from ..sources import changes, ingest, python_code
 from . import diff, resolve, search
-from .queries import _code, _CODE, _OVERRIDES, query
+from .queries import _CODE, _OVERRIDES, _RISK, _SIDES as _API, _code, _flows, _risks, api_diff, query
 
 c = F.col
 
@@ -235,3 +235,32 @@ def duplicate_keys(g):
 @query(" SELECT r.ref_id FROM resolved r WHERE target_id IS NOT NULL AND target_id NOT IN (SELECT id FROM nodes WHERE kind <> 'test')")
 def orphan_references(g):
     return diff.orphans(g.resolved, g.nodes.where("kind <> 'test'"), "target_id", "id").select("ref_id")
+
+
+# -- a review
+
+_SCORE = "printf('%d.%04d', ({0} // 10000)::BIGINT, ({0} % 10000)::BIGINT)"
+_REVIEW = _RISK + ", " + _API.removeprefix("WITH ").replace("sides AS", "sides AS", 1).replace("\n    SELECT CASE WHEN h2.line", ",\n    api AS (SELECT CASE WHEN h2.line", 1) + f"""),
+    told AS (SELECT 'risk' AS section, row_number() OVER (ORDER BY score DESC, id::VARCHAR) AS n, 'risk ' || {_SCORE.format('score')} || ' n' || id || ' flow=' || {_SCORE.format('flow')} || ' tests=' || {_SCORE.format('untested')} || ' security=' || {_SCORE.format('security')} || ' callers=' || {_SCORE.format('called')} || ' '
+        || concat_ws('+', CASE WHEN kind = 'test' THEN 'changed-test' WHEN kind = 'terraform' THEN 'test-paths-unmodeled' WHEN tests = 0 THEN 'no-static-test-path' WHEN NOT direct THEN 'indirect-test-coverage' ELSE 'direct-test-coverage' END,
+           CASE WHEN flow > 0 THEN 'affected-flow' END, CASE WHEN security > 0 THEN 'security-sensitive' END, CASE WHEN called > 0 THEN 'caller-impact' END, CASE WHEN called = 1000 THEN 'high-fan-in' END) AS line FROM risks
+      UNION ALL SELECT 'flow', row_number() OVER (ORDER BY criticality DESC, entry::VARCHAR), 'flow ' || {_SCORE.format('criticality')} || ' n' || entry || ' nodes=' || nodes || ' files=' || files || ' external=' || external || ' security=' || security || ' tested=' || tested || ' depth=' || depth FROM scored
+      UNION ALL SELECT 'api', row_number() OVER (ORDER BY coalesce(head_line, base_line), identity || '|' || status, coalesce(base_line, 0)), 'api ' || status || ' ' || identity || ' ' || coalesce(base_line::VARCHAR, '-') || ' ' || coalesce(head_line::VARCHAR, '-') FROM api
+      UNION ALL SELECT 'summary', 1, 'summary overall=' || {_SCORE.format('coalesce((SELECT max(score) FROM risks), 0)')} || ' symbols=' || (SELECT count(*) FROM risks) || ' flows=' || (SELECT count(*) FROM scored) || ' gaps=' || (SELECT count(*) FROM risks WHERE tests = 0 AND kind NOT IN ('test', 'terraform')) || ' api=' || (SELECT count(*) FROM api))"""
+
+
+def _review(g):
+    return review.review(_risks(g), _flows(g)[0], api_diff(g))
+
+
+@query(_REVIEW + " SELECT section, n::BIGINT AS n, line FROM told")
+def changes_review(g):
+    return _review(g)
+
+
+@query(_REVIEW + """, placed AS (SELECT section, n, line, sum(octet_length(encode(line)) + 1) OVER (PARTITION BY section ORDER BY n) AS stop FROM told)
+    SELECT section, max(stop) FILTER (WHERE stop <= 4096)::BIGINT AS "end", string_agg(line || chr(10), '' ORDER BY n) FILTER (WHERE stop <= 4096) AS text, count(*) FILTER (WHERE stop <= 4096)::BIGINT AS records, max(stop)::BIGINT AS total FROM placed GROUP BY section""")
+def review_first_pages(g):
+    lines = _review(g)
+    cursors = lines.select("section").distinct().withColumns({"start": F.lit(0).cast("long"), "budget": F.lit(4096).cast("long")})
+    return pages.page(lines, cursors, "section", "n", "line").select("section", "end", "text", "records", "total")

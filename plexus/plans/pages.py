@@ -1,46 +1,59 @@
-"""Pages of long reviews: where a page ends, what each section may take, and tokens to go on from."""
+"""Pages of long reviews: lines by their byte offsets, a page from a cursor, what each section may take, tokens to go on from."""
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 MAX_TOKEN = 256
 _NUMBER = "(0|[1-9][0-9]*)"
 _TOKEN = re.compile(rf"v3:{':'.join([_NUMBER] * 7)}:([0-9a-f]{{64}}):([0-9a-f]{{64}})")
 
 
-def page_end(text: bytes, start: int, budget: int) -> int:
-    """Where a page of UTF-8 from ``start`` ends: within ``budget`` bytes, after a line end if it holds one, else between characters."""
-    if not text and not start:
-        return 0
-    inside = lambda at: at < len(text) and text[at] & 0xC0 == 0x80
-    if not 0 <= start < len(text) or inside(start):
-        raise ValueError("invalid cursor")
-    end = min(len(text), start + budget)
-    while inside(end):
-        end -= 1
-    if end < len(text):
-        end = text.rfind(b"\n", start, end) + 1 or end
-    if end <= start:
-        raise ValueError("the budget holds no character")
-    return end
-
-
-def limit_records(start: int, end: int, record_ends: Sequence[int], most: int) -> int:
-    """The end of a page of at most ``most`` records; ``record_ends`` ascend."""
-    left = [e for e in record_ends if e > start]
-    return min(end, left[most - 1]) if 0 < most <= len(left) else end
-
-
-def shares(budget: int, unfinished: Sequence[bool]) -> list[int]:
-    """``budget`` dealt evenly to the unfinished sections, the remainder to the first of them."""
-    count = sum(unfinished)
-    each, over = divmod(budget, count) if count else (0, 0)
-    turn = iter(range(count))
-    return [each + (next(turn) < over) if u else 0 for u in unfinished]
+def with_offsets(lines: DataFrame, by: str, order: str, text: str) -> DataFrame:
+    """lines with first and stop: the bytes of each ``by`` that a line and its line end take, counted over its lines in order."""
+    size = F.octet_length(text).cast("long") + 1
+    stop = F.sum(size).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return lines.withColumn("stop", stop).withColumn("first", F.col("stop") - size)
+
+
+def page(lines: DataFrame, cursors: DataFrame, by: str, order: str, text: str, most: int = 1 << 30) -> DataFrame:
+    """by, start, end, text, records, partial, total: the page of each ``by`` that begins at its cursor (by, start, budget).
+
+    A page has the whole lines that fit in its budget of bytes, ``most`` at most, of the first one what the cursor leaves
+    of it. If not even that one fits, it has as many of its characters as do, and is partial; a budget for no character
+    gives an end at the start. A cursor at or beyond the total has no page.
+    """
+    placed = with_offsets(lines, by, order, text)
+    total = placed.groupBy(by).agg(F.max("stop").alias("total"))
+    rest = placed.join(cursors.select(by, "start", "budget"), by).where("stop > start")
+    rest = rest.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    bytes_ = F.encode(F.concat(F.col(text), F.lit("\n")), "utf-8")
+    skip = F.greatest(F.col("start") - F.col("first"), F.lit(0)).cast("int")
+    fits = F.col("stop") <= F.col("start") + F.col("budget")
+    own = F.decode(F.substring(bytes_, skip + 1, F.octet_length(bytes_)), "utf-8")
+    whole = rest.where(fits & (F.col("_n") <= most)).groupBy(by, "start").agg(
+        F.max("stop").alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", own.alias("_t")))), lambda x: x["_t"]), "").alias("text"), F.count("*").alias("records"), F.lit(False).alias("partial")
+    )
+    # The last place in the budget at which a character begins: a byte of 10xxxxxx continues one.
+    begins = lambda k: ~F.hex(F.substring(bytes_, skip + F.col("budget").cast("int") - k + 1, F.lit(1))).rlike("^[89AB]")
+    back = F.when(begins(0), 0).when(begins(1), 1).when(begins(2), 2).otherwise(3)
+    cut = rest.where((F.col("_n") == 1) & ~fits).withColumn("_len", F.greatest(F.col("budget").cast("int") - back, F.lit(0)))
+    cut = cut.select(by, "start", (F.col("start") + F.col("_len")).alias("end"), F.decode(F.substring(bytes_, skip + 1, F.col("_len")), "utf-8").alias("text"), F.lit(0).cast("long").alias("records"), F.lit(True).alias("partial"))
+    return whole.unionByName(cut).join(total, by)
+
+
+def shares(sections: DataFrame, budget: int, by: str, order: str) -> DataFrame:
+    """sections (by, order, unfinished) with budget: dealt evenly to those that are unfinished, the remainder to the first of them."""
+    whole, before = Window.partitionBy(by), Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    open_ = F.col("unfinished").cast("int")
+    count, turn = F.sum(open_).over(whole), F.sum(open_).over(before)
+    each = F.floor(F.lit(budget) / F.nullif(count, F.lit(0)))
+    return sections.withColumn("budget", F.when(F.col("unfinished"), each + (turn <= budget % count).cast("int")).otherwise(0).cast("long"))
 
 
 @dataclass(frozen=True)
@@ -53,8 +66,8 @@ class Cursor:
     snapshot: str
 
     def check(self, review: str) -> str:
-        parts = ["changes cursor v3", review, *map(str, (*self.offsets, self.depth, self.max_nodes)), self.snapshot]
-        return hashlib.sha256("".join(f"{len(p)}:{p}" for p in parts).encode()).hexdigest()
+        held = "|".join(map(str, (*self.offsets, self.depth, self.max_nodes, self.snapshot, len(review))))
+        return hashlib.sha256(f"place in a review|{held}|{review}".encode()).hexdigest()
 
     def token(self, review: str) -> str:
         return ":".join(["v3", *map(str, (*self.offsets, self.depth, self.max_nodes)), self.snapshot, self.check(review)])
@@ -65,12 +78,12 @@ def read_token(token: str, review: str, depth: int, max_nodes: int, snapshot: st
     found = _TOKEN.fullmatch(token) if len(token) <= MAX_TOKEN else None
     if not found:
         raise ValueError("invalid cursor")
-    numbers = [int(n) for n in found.groups()[:7]]
-    cursor = Cursor(tuple(numbers[:5]), numbers[5], numbers[6], found[8])
+    *numbers, given, check = found.groups()
+    cursor = Cursor(tuple(map(int, numbers[:5])), int(numbers[5]), int(numbers[6]), given)
     if cursor.snapshot != snapshot:
         raise ValueError("cursor_snapshot_mismatch")
     if (cursor.depth, cursor.max_nodes) != (depth, max_nodes):
         raise ValueError("cursor_parameters_mismatch")
-    if cursor.check(review) != found[9]:
+    if cursor.check(review) != check:
         raise ValueError("invalid cursor")
     return cursor

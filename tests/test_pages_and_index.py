@@ -48,24 +48,31 @@ def test_symbol_name(spark):
     assert [(r.symbol, r.got) for r in rows] == [(r.symbol, r.want) for r in rows]
 
 
-def test_page_end():
-    text = "one\ntwo\né€x".encode()
-    assert [pages.page_end(text, *a) for a in ((0, 5), (0, 3), (4, 100), (8, 3), (8, 4), (8, 5))] == [4, 3, 14, 10, 10, 13]
-    assert pages.page_end(b"", 0, 0) == 0
-    for start, budget in ((9, 5), (14, 5), (8, 1), (-1, 5)):
-        with pytest.raises(ValueError):
-            pages.page_end(text, start, budget)
-    at, parts = 0, []
-    while at < len(text):
-        end = pages.page_end(text, at, 4)
-        parts.append(text[at:end])
-        at = end
-    assert b"".join(parts) == text
-
-
-def test_shares_and_records():
-    assert pages.shares(11, [True, False, True, True]) == [4, 0, 4, 3] and pages.shares(5, [False]) == [0]
-    assert [pages.limit_records(3, 20, [3, 7, 9, 15], n) for n in (1, 2, 3, 4)] == [7, 9, 15, 20]
+def test_pages(spark):
+    text = ["one", "two", "é€x"]
+    lines = spark.createDataFrame([("r", i, t) for i, t in enumerate(text)] + [("other", 0, "zz")], "r string, i int, line string")
+    whole = "".join(t + "\n" for t in text).encode()
+
+    def one(start, budget, most=99):
+        got = pages.page(lines, spark.createDataFrame([("r", start, budget)], "r string, start long, budget long"), "r", "i", "line", most).collect()
+        return [(r.end, r.text, r.records, r.partial, r.total) for r in got]
+
+    assert one(0, 5) == [(4, "one\n", 1, False, 15)] and one(0, 3) == [(3, "one", 0, True, 15)] and one(4, 100) == [(15, "two\né€x\n", 2, False, 15)]
+    assert one(2, 6) == [(8, "e\ntwo\n", 2, False, 15)] and one(0, 100, 2) == [(8, "one\ntwo\n", 2, False, 15)]
+    assert one(8, 3) == [(10, "é", 0, True, 15)] and one(8, 5) == [(13, "é€", 0, True, 15)] and one(8, 1) == [(8, "", 0, True, 15)] and one(15, 9) == []
+    for budget in (4, 5, 7):
+        at, parts = 0, []
+        while at < len(whole):
+            ((end, part, *_),) = one(at, budget)
+            parts.append(part)
+            at = end
+        assert "".join(parts).encode() == whole
+
+
+def test_shares(spark):
+    rows = spark.createDataFrame([("a", i, u) for i, u in enumerate([True, False, True, True])] + [("b", 0, False)], "r string, i int, unfinished boolean")
+    got = pages.shares(rows, 11, "r", "i").orderBy("r", "i").collect()
+    assert [r.budget for r in got] == [4, 0, 4, 3, 0]
 
 
 def test_tokens():
