@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from plexus.functions import scalars as S
 from plexus.operators import resolve
+from plexus.plans import snapshot
 from plexus.sources import changes, python_code
+from plexus.streaming import delta
 
 PACKAGE = {
     "src/app/__init__.py": "from .core import run as start\nfrom ...too import far\n",
@@ -127,3 +129,29 @@ def test_names_and_paths(spark):
     assert one(S.dot_escaped, 'a"\\\n\x07') == ['a\\"\\\\\\n\ufffd']
     assert one(S.inline_code, "`a` ``b`c`` `open", "none") == [["a", "b`c"], []]
     assert [r and tuple(r) for r in one(S.reference_definition, "[l]: <t> u", "  [a]b]: c", "x [l]: t", "[]: t")] == [("l", "t"), ("a]b", "c"), None, None]
+
+
+def test_files_as_a_stream(spark, tmp_path):
+    """Images after each batch equal a fresh index of the files as they are then."""
+    one = [("a.py", "def f():\n    pass\n", 1), ("b.py", "from a import f\nfrom c import g\nf()\ng()\n", 1), ("a.py", "def old():\n    pass\n", 0)]
+    two = [("c.py", "def g():\n    pass\n", 2), ("a.py", "def h():\n    pass\n", 2)]
+    three = [("c.py", None, 3), ("b.py", "from a import h\nh()\n", 3)]
+    kind = "path string, content string, seq long"
+    folder, now = f"file://{tmp_path}/images", {}
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    for n, part in enumerate((one, two, three)):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        delta.follow_files(stream, folder, f"{tmp_path}/at").awaitTermination(120)
+        for path, content, _ in sorted(part, key=lambda r: r[2]):
+            now[path] = content
+        now = {p: t for p, t in now.items() if t is not None}
+        fresh = python_code.graph_tables(python_code.python_rows(spark.createDataFrame(list(now.items()), "path string, content string")))
+        want = resolve.references(fresh["refs"], fresh["node_keys"])
+        got = snapshot.load(spark, folder, delta.version(n))
+        of = lambda df, *c: sorted(tuple(r) for r in df.select(*c).collect())
+        assert of(got["refs"], "ref_id", "state", F.coalesce("target_id", F.lit(""))) == of(want, "ref_id", "state", F.coalesce("target_id", F.lit("")))
+        assert of(got["nodes"], "id", "kind") == of(fresh["nodes"], "id", "kind") and of(got["files"], "path") == sorted((p,) for p in now)
+        assert of(got["edges"], "source_id", "target_id", "kind", "support") == of(resolve.edge_support(want, fresh["nodes"]), "source_id", "target_id", "kind", "support")
+    again = delta.apply_files(spark.createDataFrame(three, kind), 2, folder)
+    assert again.endswith(delta.version(2))
