@@ -146,6 +146,23 @@ _NEIGHBORS = {
 for _relation, _sql in _NEIGHBORS.items():
     query(f" SELECT DISTINCT * FROM ({_sql})", name=f"neighbors_{_relation}")(lambda g, r=_relation: traverse.neighbors(g.nodes, g.edges, g.implements, r))
 
+def _view_sql(depth: int, most: int) -> str:
+    steps = " UNION ALL ".join(f"SELECT DISTINCT node, other, {i} AS rank FROM ({_NEIGHBORS[r]})" for i, r in enumerate(traverse.VIEW))
+    out = f", steps AS MATERIALIZED ({steps}), l0 AS (SELECT id AS root, id AS node, 0 AS level, 1::BIGINT AS pos, NULL::INT AS rank, 1::BIGINT AS size FROM nodes WHERE id % 50 = 0 AND kind <> 'file'), s0 AS (SELECT * FROM l0)"
+    for k in range(1, depth + 2):
+        where = "" if k == 1 else " AND e.rank <> 0"
+        out += f""", a{k} AS MATERIALIZED (SELECT root, node, {k} AS level, row_number() OVER (PARTITION BY root ORDER BY hit.pos, hit.rank, node) AS pos, hit.rank AS rank, count(*) OVER (PARTITION BY root) AS size FROM (
+            SELECT l.root, e.other AS node, min({{'pos': l.pos, 'rank': e.rank}}) AS hit FROM l{k - 1} l JOIN steps e ON e.node = l.node{where} WHERE NOT EXISTS (SELECT 1 FROM s{k - 1} s WHERE s.root = l.root AND s.node = e.other) GROUP BY ALL)),
+            l{k} AS (SELECT * FROM a{k} WHERE pos <= {most}), s{k} AS (SELECT * FROM s{k - 1} UNION ALL SELECT * FROM l{k})"""
+    return out + f""", placed AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY level, pos) AS n FROM s{depth + 1}), told AS (SELECT *, NOT bool_or(size > {most} OR level > {depth} OR n > {most}) OVER (PARTITION BY root) AS complete FROM placed)
+        SELECT root, node, level, pos::INT AS pos, rank, complete FROM told WHERE n <= {most} AND level <= {depth}"""
+
+
+@query(_view_sql(2, 12))
+def view_nodes(g):
+    return traverse.view(traverse.view_steps(g.nodes, g.edges, g.implements), g.nodes.where("id % 50 = 0 and kind <> 'file'"), 2, 12)
+
+
 _OVERRIDES = """RECURSE, up(type_id, super_id) AS (SELECT implementor_id, trait_id FROM implements UNION SELECT up.type_id, i.trait_id FROM up JOIN implements i ON i.implementor_id = up.super_id),
     overrides AS (SELECT DISTINCT m.id AS member_id, b.id AS base_id FROM up JOIN nodes m ON m.parent_id = up.type_id AND m.kind = 'function' JOIN nodes b ON b.parent_id = up.super_id AND b.kind = 'function' AND b.name = m.name)"""
 
@@ -182,6 +199,11 @@ def impact_depth3(g):
     return traverse.impact(_code(g), _changed(g), 3)
 
 
+@query(_impact_sql(3).rsplit(" SELECT * FROM s3", 1)[0] + ", placed AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY level, pos) AS n, count(*) OVER (PARTITION BY root) AS total FROM s3) SELECT root, node, level, pos, relation, total <= 20 AS complete FROM placed WHERE n <= 20")
+def impact_bounded(g):
+    return traverse.first_nodes(traverse.impact(_code(g), _changed(g), 3), 20)
+
+
 def _pairs(g):
     return g.table("customer").where("c_custkey % 50 = 0").select((c("c_custkey") + 400_000_000_000_000_000).alias("start"), (c("c_nationkey") + 200_000_000_000_000_000).alias("goal"))
 

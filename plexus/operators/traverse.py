@@ -66,6 +66,20 @@ def impact(graph: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
     return seen
 
 
+def first_nodes(reach: DataFrame, max_nodes: int = 50) -> DataFrame:
+    """reach (root, node, level, pos, ...) cut to the first ``max_nodes`` of each root by (level, pos), with complete: whether that is all.
+
+    Each level's place is known, so a node's place among all is that after the sizes of the levels before it: no sort of a root's whole reach.
+    """
+    if not 1 <= max_nodes <= 50:
+        raise ValueError("max_nodes must be 1 to 50")
+    sizes = reach.groupBy("root", "level").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy("root").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).withColumn("_all", F.sum("_size").over(Window.partitionBy("root")))
+    placed = reach.join(sizes, ["root", "level"]).where(F.col("_before") + F.col("pos") <= max_nodes)
+    return placed.select(*reach.columns, (F.col("_all") <= max_nodes).alias("complete"))
+
+
 def paths(graph: DataFrame, pairs: DataFrame, hops: int = 6, any_direction: bool = False) -> DataFrame:
     """start, goal, hop, node, parent, reverse, relation: a shortest path for each pair that has one.
 
@@ -116,6 +130,47 @@ def neighbors(nodes: DataFrame, edges: DataFrame, implements: DataFrame, relatio
     return made[relation]().distinct()
 
 
+#: Relations of a view in the order in which it lists them; members are listed of the root alone, heritage of types alone.
+VIEW = ("member", "test", "caller", "impl", "call", "implements", "in", "import", "dependent", "depends_on")
+
+
+def view_steps(nodes: DataFrame, edges: DataFrame, implements: DataFrame) -> DataFrame:
+    """node, other, rank of all relations of a view."""
+    parts = [neighbors(nodes, edges, implements, r).withColumn("rank", F.lit(i)) for i, r in enumerate(VIEW)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def view(steps: DataFrame, roots: DataFrame, depth: int = 1, max_nodes: int = 20, root_only: tuple[int, ...] = (0,)) -> DataFrame:
+    """root, node, level, pos, rank, complete: what stands around each root, ``max_nodes`` with the root itself at most.
+
+    All roots at once. A node is listed by the first of its neighbours that lists it, over its first relation; a level stands by
+    (place of that neighbour, relation, id). No level can show more than ``max_nodes``, so no more are kept of one, and
+    ``complete`` says whether anything was left out. Relations in ``root_only`` go out from roots alone.
+    """
+    if not 0 <= depth <= 6 or not 1 <= max_nodes <= 50:
+        raise ValueError("depth must be 0 to 6 and max_nodes 1 to 50")
+    frontier = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("level"), F.lit(1).alias("pos"), F.lit(None).cast("int").alias("rank"), F.lit(False).alias("cut")).distinct()
+    seen = cut(frontier, "view")
+    for level in range(1, depth + 2):
+        way = steps if level == 1 else steps.where(~F.col("rank").isin(*root_only))
+        met = frontier.select("root", "node", "pos").join(way.select("node", F.col("other"), F.col("rank").alias("r")), "node")
+        new = met.groupBy("root", F.col("other").alias("node")).agg(F.min(F.struct("pos", F.col("r").alias("rank"))).alias("by")).join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        line = Window.partitionBy("root")
+        placed = new.withColumn("pos", F.row_number().over(line.orderBy("by.pos", "by.rank", "node"))).withColumn("cut", F.count("*").over(line) > max_nodes)
+        frontier = cut(placed.where(F.col("pos") <= max_nodes).select("root", "node", F.lit(level).alias("level"), "pos", F.col("by.rank").alias("rank"), "cut"), "view")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    line = Window.partitionBy("root")
+    placed = seen.withColumn("_n", F.row_number().over(line.orderBy("level", "pos")))
+    # A level beyond the depth was looked at only to tell whether there is more.
+    complete = ~F.max(F.col("cut") | (F.col("level") > depth) | (F.col("_n") > max_nodes)).over(line)
+    return placed.withColumn("complete", complete).where((F.col("_n") <= max_nodes) & (F.col("level") <= depth)).select("root", "node", "level", "pos", "rank", "complete")
+
+
 def flow_neighbors(edges: DataFrame, overrides: DataFrame) -> DataFrame:
     """node, other, dispatch (0 a call, 1 by dispatch alone): calls, and members that override or are overridden."""
     both = overrides.select(F.col("member_id").alias("node"), F.col("base_id").alias("other")).unionByName(overrides.select(F.col("base_id").alias("node"), F.col("member_id").alias("other")))
