@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..plans import pages, render, review
 from ..sources import changes, ingest, python_code
-from . import diff, resolve, search
+from . import diff, evidence, resolve, search
 from .queries import _CODE, _OVERRIDES, _RISK, _SIDES as _API, _code, _flows, _risks, api_diff, query
 
 c = F.col
@@ -264,3 +264,34 @@ def review_first_pages(g):
     lines = _review(g)
     cursors = lines.select("section").distinct().withColumns({"start": F.lit(0).cast("long"), "budget": F.lit(4096).cast("long")})
     return pages.page(lines, cursors, "section", "n", "line").select("section", "end", "text", "records", "total")
+
+
+# -- scope
+
+_GAPS = """, changed AS (SELECT id FROM nodes WHERE id // 100000000000000000 = 5 AND id % 50 = 0), scope AS (SELECT DISTINCT file_id, line_start AS start, line_end AS stop FROM nodes JOIN changed USING (id)),
+    gaps AS (SELECT ref_id, file_id, source_id, line FROM resolved JOIN nodes ON id = source_id WHERE state <> 'resolved')"""
+
+
+@query(_GAPS + """, lit AS (SELECT DISTINCT file_id, unnest(range(start, stop + 1)) AS line FROM scope)
+    SELECT ref_id FROM gaps WHERE file_id = 100000000000000001 OR source_id IN (SELECT id FROM changed) OR (file_id, line) IN (SELECT (file_id, line) FROM lit)""")
+def relevant_gaps(g):
+    gaps = g.resolved.where("state <> 'resolved'").join(g.nodes.select(c("id").alias("source_id"), "file_id"), "source_id").select("ref_id", "file_id", "source_id", c("line").alias("line_start"), c("line").alias("line_end"))
+    asked = g.nodes.where("id div 100000000000000000 = 5 and id % 50 = 0")
+    files = g.nodes.where("id = 100000000000000001").select(c("id").alias("file_id"))
+    return evidence.relevant(gaps, "ref_id", files, asked.select("id"), asked.select("file_id", c("line_start").alias("start"), c("line_end").alias("end"))).select("ref_id")
+
+
+@query("""SELECT o_custkey, count(DISTINCT o_orderkey) FILTER (WHERE o_orderkey % 3 = 0)::BIGINT AS staged, count(DISTINCT o_orderkey) FILTER (WHERE o_orderkey % 3 = 1)::BIGINT AS unstaged, count(DISTINCT o_orderkey) FILTER (WHERE o_orderkey % 3 = 2)::BIGINT AS untracked FROM orders GROUP BY o_custkey""", graph=False)
+def status_counts(g):
+    k = c("o_orderkey")
+    return evidence.status_counts(g.table("orders").select("o_custkey", text("p", k).alias("path"), F.when(k % 3 == 0, "staged").when(k % 3 == 1, "unstaged").otherwise("untracked").alias("layer")), "o_custkey")
+
+
+@query(""" SELECT path, line_start, line_end, reason, count(*)::BIGINT AS occurrences, CASE reason WHEN 'missing' THEN 3 WHEN 'ambiguous' THEN 4 ELSE 5 END::BIGINT AS "order" FROM (
+    SELECT 'file' || file_id AS path, line AS line_start, line AS line_end, state AS reason FROM resolved JOIN nodes ON id = source_id WHERE state <> 'resolved'
+    UNION ALL SELECT 'file' || file_id, line_start, line_end, 'dynamic-or-unsupported-dispatch' FROM nodes WHERE kind = 'test') GROUP BY ALL""")
+def gap_records(g):
+    path = text("file", c("file_id")).alias("path")
+    named = g.resolved.where("state <> 'resolved'").join(g.nodes.select(c("id").alias("source_id"), "file_id"), "source_id").select(path, c("line").alias("line_start"), c("line").alias("line_end"), c("state").alias("reason"))
+    own = g.nodes.where("kind = 'test'").select(path, "line_start", "line_end", F.lit("dynamic-or-unsupported-dispatch").alias("reason"))
+    return evidence.static_gap_records(own, named)

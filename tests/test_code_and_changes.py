@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from plexus.functions import scalars as S
-from plexus.operators import resolve
+from plexus.operators import evidence, resolve
 from plexus.plans import snapshot
 from plexus.sources import changes, python_code
 from plexus.streaming import delta
@@ -155,3 +155,13 @@ def test_files_as_a_stream(spark, tmp_path):
         assert of(got["edges"], "source_id", "target_id", "kind", "support") == of(resolve.edge_support(want, fresh["nodes"]), "source_id", "target_id", "kind", "support")
     again = delta.apply_files(spark.createDataFrame(three, kind), 2, folder)
     assert again.endswith(delta.version(2))
+
+
+def test_scope(spark):
+    branches = spark.createDataFrame([(1, "f", 2, 9, True), (2, "f", 2, 9, False), (3, "f", 20, 4, True), (4, "g", 5, 5, False), (5, "f", 30, 40, False)], "k long, file_id string, line_start long, line_end long, arc boolean")
+    spans = spark.createDataFrame([("f", 4, 6)], "file_id string, start long, end long")
+    assert sorted(r.k for r in evidence.relevant_branches(branches, "k", spans).collect()) == [2, 3]
+    rows = [("w", "staged", "a", "M", "1"), ("w", "untracked", "b", "A", None), ("x", "staged", "a", "M", "1")]
+    kind = "w string, layer string, path string, status string, content_key string"
+    of = lambda some: {r.w: r.digest for r in evidence.dirty_digest(spark.createDataFrame(some, kind), "w").collect()}
+    assert of(rows) == of(rows[::-1]) and of(rows)["w"] != of(rows)["x"] and of([(*rows[0][:4], "2"), *rows[1:]])["w"] != of(rows)["w"]
