@@ -188,6 +188,53 @@ def test_near_dedup_equals_brute_force(spark):
         assert sorted(r.doc_id for r in got.collect()) == sorted(set(plain_near(some)))
 
 
+def test_near_dedup_at_the_border(spark):
+    """Pairs of a Jaccard of just 0.8 and just below: each of the first is found, none of the others."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    rows, stay = [], set()
+    for k in range(400):
+        base, other = [word() for _ in range(94)], 10 + k % 2  # 90 shingles: 80 of 100 are shared, or 79 of 101
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:-other] + [word() for _ in range(other)]))]
+        stay |= {2 * k, 2 * k + 1} if k % 2 else {2 * k}
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert {r.doc_id for r in got} == stay and len(got) == len(stay)
+
+
+def test_prefixes_and_prints_rule_nothing_out():
+    """Sets of Jaccard 0.8 or more share a hash of their prefixes, whatever is common, and differ in no more bits than may be."""
+    from plexus.llm import near_copies
+
+    rng, seen = np.random.default_rng(6), 0
+    for _ in range(3000):
+        pool = rng.permutation(rng.integers(0, 1 << 64, 900, dtype=np.uint64))
+        n, cut = int(rng.integers(1, 400)), int(rng.integers(0, 60))
+        a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[min(cut, n - 1) : n], pool[500 : 500 + int(rng.integers(0, 60))]]))
+        names = np.sort(rng.choice(pool, int(rng.integers(0, 600)), replace=False))
+        common = names, rng.integers(8, 12, len(names))
+        both = len(np.intersect1d(a, b))
+        if both * 10 >= 8 * (len(a) + len(b) - both):
+            seen += 1
+            assert len(np.intersect1d(near_copies.prefix(a, 8, common), near_copies.prefix(b, 8, common)))
+            apart = np.bitwise_count(near_copies.parity_print(a) ^ near_copies.parity_print(b)).sum()
+            assert apart <= len(a) + len(b) - 2 * both <= near_copies.most_apart(np.array([len(a)]), np.array([len(b)]), 8)[0]
+    assert seen > 500
+
+
+def test_candidates_are_all_pairs_of_parted_components(spark):
+    """Every pair of two components that shares a token is given, whatever the component sizes; pairs of one component aren't."""
+    from plexus.llm import near_copies
+
+    rng = np.random.default_rng(7)
+    rows = sorted({(int(t), int(c)) for t, c in zip(rng.integers(0, 12, 700), rng.integers(0, 120, 700), strict=True)})
+    of = {c: c if c < 30 else c % 5 + 200 for c in range(120)}
+    made = spark.createDataFrame([(t, c, of[c], 10, [0] * near_copies.LONGS) for t, c in rows], "token long, class long, component long, n long, prints array<long>")
+    got = sorted(map(tuple, near_copies.candidates(made, 8, 3).collect()))
+    assert got == sorted({(a, b) for t, a in rows for u, b in rows if t == u and a < b and of[a] != of[b]})
+    one = near_copies.candidates(made.withColumn("component", F.lit(0).cast("long")), 8, 3)
+    assert one.count() == 0
+
+
 def test_vantage_point_blocks():
     """Blocks of wide prints differ like the angle of the sets; forests connect what their links connect, by the least."""
     rng = np.random.default_rng(2)
