@@ -217,7 +217,8 @@ def test_prefixes_and_prints_rule_nothing_out():
             seen += 1
             assert len(np.intersect1d(near_copies.prefix(a, 8, common), near_copies.prefix(b, 8, common)))
             apart = np.bitwise_count(near_copies.parity_print(a) ^ near_copies.parity_print(b)).sum()
-            assert apart <= len(a) + len(b) - 2 * both <= near_copies.most_apart(np.array([len(a)]), np.array([len(b)]), 8)[0]
+            wide = near_copies.print_distance(*(near_copies.parity_print(x, near_copies.wide_longs(len(x))) for x in (a, b)))
+            assert max(apart, wide) <= len(a) + len(b) - 2 * both <= near_copies.most_apart(np.array([len(a)]), np.array([len(b)]), 8)[0]
     assert seen > 500
 
 
