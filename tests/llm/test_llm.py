@@ -236,6 +236,35 @@ def test_candidates_are_all_pairs_of_parted_components(spark):
     assert one.count() == 0
 
 
+def test_candidates_nearest_and_places(spark):
+    """Forests connect what all pairs connect, by fewer pairs than components; places that can't be a first shared hash rule out."""
+    from plexus.llm import near_copies
+
+    rng = np.random.default_rng(9)
+    rows = sorted({(int(t), int(c)) for t, c in zip(rng.integers(0, 12, 700), rng.integers(0, 120, 700), strict=True)})
+    kind = "token long, class long, component long, n long, prints array<long>, place int"
+    made = lambda place: spark.createDataFrame([(t, c, c // 2, 10, [c % 4] * near_copies.LONGS, place) for t, c in rows], kind)
+    every, few = ([(r.a // 2, r.b // 2) for r in near_copies.candidates(made(0), 8, 1, x).collect()] for x in (False, True))
+    assert smallest(60, every) == smallest(60, few) and len(few) < 60 < len(every)
+    assert near_copies.candidates(made(1), 8, 3).count() == near_copies.candidates(made(0), 8, 3).count()  # 2 apart of 20 may be
+    assert near_copies.candidates(made(2), 8, 3).count() == 0
+
+
+def test_pairs_of_a_group_of_near_copies(spark, monkeypatch):
+    """Copies of a text, most of whose pairs are less alike than 0.8, are joined by pairs that don't grow with the group's square."""
+    from plexus.llm import near_copies
+
+    rng, tried = random.Random(12), []
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(150)]
+    texts = [" ".join(word() if rng.random() < p else w for w in base) for p in (0.005, 0.015, 0.02, 0.03) for _ in range(150)]
+    plain = near_copies.filtered
+    monkeypatch.setattr(near_copies, "filtered", lambda pairs, *rest: tried.append(pairs.count()) or plain(pairs, *rest))
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), SF)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(plain_near(texts)))
+    assert sum(tried) < 10 * len(texts), tried
+
+
 def test_vantage_point_blocks():
     """Blocks of wide prints differ like the angle of the sets; forests connect what their links connect, by the least."""
     rng = np.random.default_rng(2)
